@@ -45,7 +45,7 @@ def marginals(overlap: DataFrame) -> DataFrame:
     two = overlap.groupBy(F.col("state2").alias("state")).agg(F.sum("bp").alias("m2"))
     both = overlap.where("state1 = state2").select(F.col("state1").alias("state"), F.col("bp").alias("m12"))
     rows = one.join(two, "state", "full").join(both, "state", "left").join(F.broadcast(total), F.lit(True))
-    share = lambda c: F.coalesce(c, F.lit(0)) / F.col("total")
+    share = lambda c: F.try_divide(F.coalesce(c, F.lit(0)), F.col("total"))
     return rows.select("state", share("m12").alias("p12"), share("m1").alias("p1"), share("m2").alias("p2"))
 
 
@@ -80,7 +80,7 @@ def per_state_diagonal(overlap: DataFrame, states: list[str], metric: str) -> Da
 def kappa(overlap: DataFrame) -> DataFrame:
     """Cohen's kappa over all states; 1 if chance agreement is 1."""
     got = marginals(overlap).agg(F.sum("p12").alias("po"), F.sum(F.col("p1") * F.col("p2")).alias("pe"))
-    return got.select(F.when(F.col("pe") >= 1, 1.0).otherwise(F.coalesce((F.col("po") - F.col("pe")) / (1 - F.col("pe")), F.lit(0.0))).alias("kappa"))
+    return got.select(F.when(F.col("pe") >= 1, 1.0).otherwise(F.coalesce(F.try_divide(F.col("po") - F.col("pe"), 1 - F.col("pe")), F.lit(0.0))).alias("kappa"))
 
 
 def ami(overlap: DataFrame) -> DataFrame:
@@ -129,7 +129,7 @@ def confusion_metrics(counts: DataFrame) -> DataFrame:
     sums = whole.agg(F.sum("p12").alias("po"), F.sum(F.col("p1") * F.col("p2")).alias("pe"))
     rows = whole.join(F.broadcast(total), F.lit(True)).join(F.broadcast(sums), F.lit(True))
     jac = F.try_divide(F.col("p12"), F.col("p1") + F.col("p2") - F.col("p12"))
-    kap = F.when(F.col("pe") >= 1, 1.0).otherwise((F.col("po") - F.col("pe")) / (1 - F.col("pe")))
+    kap = F.when(F.col("pe") >= 1, 1.0).otherwise(F.try_divide(F.col("po") - F.col("pe"), 1 - F.col("pe")))
     return rows.select("state", "n_bins", jac.alias("jaccard"), F.col("po"), F.col("pe"), kap.alias("kappa"))
 
 

@@ -43,7 +43,7 @@ def coverage_by_depth(coded: DataFrame, n_marks: int) -> DataFrame:
     down = Window.orderBy(F.desc("depth")).rowsBetween(Window.unboundedPreceding, 0)  # n_marks rows
     least = rows.withColumn("bins", F.sum("n").over(down).cast("long"))
     first = F.max("bins").over(Window.partitionBy(F.lit(0)))
-    return least.select("depth", "bins", F.round(F.col("bins") / first, 6).alias("share")).where("share is not null")
+    return least.select("depth", "bins", F.round(F.try_divide(F.col("bins"), first), 6).alias("share")).where("share is not null")
 
 
 def combinations_by_depth(coded: DataFrame, n_marks: int) -> DataFrame:

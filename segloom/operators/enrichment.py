@@ -35,7 +35,7 @@ def _tables(segments: DataFrame, annotations: DataFrame, width: int) -> DataFram
     rows = rows.na.fill(0, ["shared", "half_loci", "half_segments"])
     cover = ratio(F.col("shared"), F.col("state_bp"))
     out = {
-        "coverage": cover, "fold": ratio(cover, F.col("label_bp") / F.col("genome")),
+        "coverage": cover, "fold": ratio(cover, F.try_divide(F.col("label_bp").cast("double"), F.col("genome"))),
         "jaccard": ratio(F.col("shared"), F.col("state_bp") + F.col("label_bp") - F.col("shared")), "sensitivity": ratio(F.col("shared"), F.col("label_bp")),
         "sensitivity_50": ratio(F.col("half_loci"), F.col("n_loci")), "coverage_50": ratio(F.col("half_segments"), F.col("n_segments")),
     }
@@ -50,7 +50,7 @@ def family_enrichment(segments: DataFrame, annotations: DataFrame, families: Dat
     # the genome of a pool is that of all segments, not of the pooled ones
     whole = segments.agg(F.sum(length()).cast("double").alias("genome"))
     size = merge_intervals(annotations, ["label"]).groupBy("label").agg(F.sum(length()).alias("label_bp"))
-    fold = ratio(F.col("coverage"), F.col("label_bp") / F.col("genome"))
+    fold = ratio(F.col("coverage"), F.try_divide(F.col("label_bp").cast("double"), F.col("genome")))
     return rows.drop("fold").join(F.broadcast(size), "label").join(F.broadcast(whole), F.lit(True)).select(
         "state", "label", "coverage", F.round(fold, 5).alias("fold"), "jaccard", "sensitivity", "sensitivity_50", "coverage_50"
     )
@@ -75,7 +75,7 @@ def recovered(table: DataFrame, sizes: DataFrame, states: list[str], prefix: str
     """Sensitivity, precision and F1 of a family from a rounded enrichment table (state, label, coverage, fold) and state sizes (state,
     total_bp): the annotation's size is the median of coverage / fold, times the genome."""
     rows = table.where(F.col("label").startswith(prefix)).join(F.broadcast(sizes), "state")
-    size = rows.where("fold > 0").groupBy("label").agg((F.median(F.col("coverage") / F.col("fold")) * genome).alias("label_bp"))
+    size = rows.where("fold > 0").groupBy("label").agg((F.median(F.try_divide(F.col("coverage"), F.col("fold"))) * genome).alias("label_bp"))
     mine = rows.where(F.col("state").isin(states)).groupBy("label").agg(F.sum(F.col("coverage") * F.col("total_bp")).alias("shared"), F.sum("total_bp").alias("bp"))
     both = mine.join(size, "label")
     s, p = F.least(ratio(F.col("shared"), F.col("label_bp")), F.lit(1.0)), ratio(F.col("shared"), F.col("bp"))
@@ -85,6 +85,6 @@ def recovered(table: DataFrame, sizes: DataFrame, states: list[str], prefix: str
 def pooled_from_table(table: DataFrame, sizes: DataFrame, states: list[str], label: str) -> DataFrame:
     """Family values from stored tables: summed sensitivity, coverage weighted by bp, and enrichment by the first state with fold > 0."""
     rows = table.where((F.col("label") == label) & F.col("state").isin(states)).join(F.broadcast(sizes), "state")
-    background = F.min_by(F.col("coverage") / F.col("fold"), F.when(F.col("fold") > 0, F.col("state")))
-    cover = F.sum(F.col("coverage") * F.col("total_bp")) / F.sum("total_bp")
+    background = F.min_by(F.try_divide(F.col("coverage"), F.col("fold")), F.when(F.col("fold") > 0, F.col("state")))
+    cover = F.try_divide(F.sum(F.col("coverage") * F.col("total_bp")), F.sum("total_bp"))
     return rows.agg(F.round(F.sum("sensitivity"), 6).alias("sensitivity"), F.round(cover, 6).alias("coverage"), F.round(F.try_divide(cover, background), 5).alias("fold"))

@@ -126,9 +126,9 @@ def transition_entropy(counts: DataFrame, lengths: DataFrame, by: list[str] | No
     """Entropy in bits of each state's successors, and its mean weighted by the states' bp; a state without successors counts 0."""
     keys = by or []
     row = Window.partitionBy(*keys, "from_state")
-    p = F.col("n") / F.sum("n").over(row)
+    p = F.try_divide(F.col("n"), F.sum("n").over(row))
     h = counts.withColumn("__p", p).groupBy(*keys, "from_state").agg(F.sum(-F.col("__p") * F.log2("__p")).alias("entropy")).withColumnRenamed("from_state", "state")
     joined = lengths.join(h, [*keys, "state"], "left").withColumn("entropy", F.coalesce("entropy", F.lit(0.0)))
     whole = Window.partitionBy(*(keys or [F.lit(0)]))
-    mean = F.sum(F.col("entropy") * F.col("bp")).over(whole) / F.sum("bp").over(whole)
+    mean = F.try_divide(F.sum(F.col("entropy") * F.col("bp")).over(whole), F.sum("bp").over(whole))
     return joined.select(*keys, "state", F.round("entropy", 6).alias("entropy"), F.round(mean, 6).alias("weighted_entropy"))

@@ -41,7 +41,7 @@ def rank_scores(rows: DataFrame, unit: list[str], value: str = "value", high: bo
     known = rows.where(F.col(value).isNotNull()).withColumn("__v", signed)
     beaten = F.rank().over(w.orderBy(F.desc("__v"))) - 1
     scored = known.withColumn("__n", F.count("*").over(w)).withColumn("__lo", F.min("__v").over(w)).withColumn("__hi", F.max("__v").over(w))
-    score = F.when((F.col("__n") > 1) & (F.col("__hi") > F.col("__lo")), 1 - beaten / (F.col("__n") - 1))
+    score = F.when((F.col("__n") > 1) & (F.col("__hi") > F.col("__lo")), 1 - F.try_divide(beaten, F.col("__n") - 1))
     return scored.withColumn("score", score).drop("__v", "__n", "__lo", "__hi")
 
 
@@ -82,7 +82,7 @@ def weighted_ranking(scored: DataFrame, weights: DataFrame, without: list[str] |
     Methods in ``without`` take no part."""
     rows = scored.where(~F.col("method").isin(without or []) & F.col("score").isNotNull())
     mean = rows.groupBy("method", "axis").agg(F.avg("score").alias("score")).join(F.broadcast(weights), "axis")
-    total = mean.groupBy("method").agg((F.sum(F.col("weight") * F.col("score")) / F.sum("weight")).alias("total"), F.count("*").alias("n_axes"))
+    total = mean.groupBy("method").agg(F.try_divide(F.sum(F.col("weight") * F.col("score")), F.sum("weight")).alias("total"), F.count("*").alias("n_axes"))
     return total.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("total"), "method")))
 
 
@@ -111,7 +111,7 @@ def stability(rows: DataFrame, by: list[str], value: str = "value") -> DataFrame
 def mean_error(rows: DataFrame, by: list[str], value: str = "value") -> DataFrame:
     """Mean, sample deviation, count and standard error."""
     sd = F.stddev_samp(value)
-    return rows.groupBy(*by).agg(F.avg(value).alias("mean"), sd.alias("std"), F.count(value).alias("n"), (sd / F.sqrt(F.count(value))).alias("se"))
+    return rows.groupBy(*by).agg(F.avg(value).alias("mean"), sd.alias("std"), F.count(value).alias("n"), F.try_divide(sd, F.sqrt(F.count(value))).alias("se"))
 
 
 def outliers(rows: DataFrame, by: list[str], value: str = "value", low: float = 0.05, high: float = 0.95) -> DataFrame:
