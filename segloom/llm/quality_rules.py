@@ -1,7 +1,8 @@
 """Quality rules: text statistics and a hashed n-gram log-likelihood ratio.
 
 Words and pairs of words are hashed to ``BUCKETS`` buckets. A target multinomial is fitted to trusted documents and a raw one to
-all documents, both with add-``ADD`` smoothing over the same buckets. A document's ratio is the mean over its n-grams of
+all documents. The raw one has ``ADD`` more of every bucket, the target one the same share of its own size, so that a bucket of
+few counts says little either way and small corpora do not lose clean documents. A document's ratio is the mean over its n-grams of
 log(target / raw); every document that passes the base rules is kept if it is at least ``THRESHOLD`` and rejected otherwise, without chance.
 
 Trusted documents are those that a label table marks, at most ``TRUSTED`` of them, chosen by a hash of their id; the raw
@@ -26,9 +27,9 @@ from .text import slices, utf8
 
 BUCKETS = 1 << 17
 TRUSTED = 1 << 15
-ADD = 0.5
+ADD = 20.0
 #: Mean log ratio that a kept document has at least.
-THRESHOLD = -0.1
+THRESHOLD = -0.15
 SYMBOLS = b"#*$%&|<>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -120,7 +121,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         raw[r.bucket], target[r.bucket] = r.raw, r.target
     if not target.sum():
         return np.zeros(BUCKETS)
-    return np.log((target + ADD) / (target.sum() + ADD * BUCKETS)) - np.log((raw + ADD) / (raw.sum() + ADD * BUCKETS))
+    share = target.sum() / raw.sum()
+    return np.log((target + ADD * share) / (raw + ADD) / share)
 
 
 def ratio(model: np.ndarray, h: np.ndarray) -> float:

@@ -84,12 +84,12 @@ def parse(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
 class Bundle:
     """A bundle in the making: frames, seek table and the places of its records."""
 
-    def __init__(self, level: int = 3):
-        self.packer, self.out, self.frames = zstandard.ZstdCompressor(level=level), [], []
+    def __init__(self, level: int = 3, frame: int = FRAME):
+        self.most, self.packer, self.out, self.frames = frame, zstandard.ZstdCompressor(level=level), [], []
         self.size, self.frame, self.held, self.places = 0, [], 0, []
 
     def add(self, data: bytes) -> None:
-        if self.held and self.held + len(data) > FRAME:
+        if self.held and self.held + len(data) > self.most:
             self.close_frame()
         self.places.append((len(self.frames), self.held, len(data)))
         self.frame.append(data)
@@ -150,16 +150,17 @@ def typed(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int
     )
 
 
-def write(pages: DataFrame, uri: str, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, bundle: int = BUNDLE) -> DataFrame:
+def write(pages: DataFrame, uri: str, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, bundle: int = BUNDLE, frame: int = FRAME) -> DataFrame:
     """Write the pages as bundles under ``uri``; the index: page_id, record_id, bundle, frame, place, length.
 
-    least: bytes of payload from which equal ones become revisits; bundle: compressed bytes from which a bundle is closed."""
+    least: bytes of payload from which equal ones become revisits; bundle: compressed bytes from which a bundle is closed;
+    frame: bytes of whole records in a frame, unless one record has more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = pafs.FileSystem.from_uri(uri)
         fs.create_dir(folder, recursive=True)
         task = TaskContext.get()
-        made, ids, open_bundle = 0, [], Bundle()
+        made, ids, open_bundle = 0, [], Bundle(frame=frame)
 
         def close() -> pa.RecordBatch:
             name = f"part-{task.partitionId():05d}-{task.taskAttemptId()}-{made:04d}.warc.zst"
@@ -179,7 +180,7 @@ def write(pages: DataFrame, uri: str, scratch: Scratch, id_col: str = "page_id",
                 ids.append((r["page_id"], record_id(r["page_id"], r["rid"])))
                 if open_bundle.size >= bundle:
                     yield close()
-                    made, ids, open_bundle = made + 1, [], Bundle()
+                    made, ids, open_bundle = made + 1, [], Bundle(frame=frame)
         if ids:
             yield close()
 
@@ -211,7 +212,7 @@ def read(index: DataFrame) -> DataFrame:
 
     bundles = index.select("bundle").distinct()
     n = min(max(bundles.count(), 1), 20_000)
-    return bundles.repartition(n, "bundle").mapInArrow(run, schema)
+    return bundles.repartition(n).mapInArrow(run, schema)
 
 
 def round_trip(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
