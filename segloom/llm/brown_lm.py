@@ -64,7 +64,7 @@ class Unit(dict):
         self.fixed, self.endings = words, endings
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 300_000 or len(word) > 256:
+        if len(self) > 150_000 or len(word) > 256:
             self.clear()
         unit = self.fixed.get(word)
         if unit is None:
@@ -81,7 +81,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         for b in slices(batches, "t"):
             for t in b.column("t").to_pylist():
                 seen.update(t.lower().split())
-                if len(seen) > 400_000:
+                if len(seen) > 200_000:
                     yield _counted(seen)
                     seen.clear()
         if seen:
@@ -100,7 +100,7 @@ def unit_pairs(texts: DataFrame, words: dict[bytes, int], endings: dict[str, int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, total = Unit(*sent.value), np.zeros(UNITS * UNITS, np.int64)
-        for b in slices(batches, "t", 16 << 20):
+        for b in slices(batches, "t", 2 << 20):
             seq = [np.array([END])]
             for t in b.column("t").to_pylist():
                 ws = t.lower().split()
@@ -213,7 +213,7 @@ class Entry(dict):
         self.log: list[float] = []
 
     def forget(self) -> None:
-        if len(self.cls) > 300_000:
+        if len(self.cls) > 150_000:
             self.clear()
             self.unit.clear()
             self.cls, self.log = [], []
@@ -237,7 +237,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
         m = sent.value
         entry, end_class = Entry(m), int(m.unit_class[END])
         end_log = np.log10(m.ends + ADD)
-        for b in slices(batches, "t", 4 << 20):
+        for b in slices(batches, "t", 1 << 20):
             entry.forget()
             each = [t.lower().split() for t in b.column("t").to_pylist()]
             sizes = np.fromiter(map(len, each), np.int64, len(each))
