@@ -20,18 +20,21 @@ def bucket_width(rows: DataFrame, least: int = 256) -> int:
     return 1 << max(int(max(64 * got.q[0], got.q[1], least)) - 1, 1).bit_length()
 
 
-def overlap_pairs(left: DataFrame, right: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Rows of both sides whose intervals share at least one base, columns named l_* and r_*, with ``bp`` shared.
+def overlap_pairs(left: DataFrame, right: DataFrame, width: int = WIDTH, on: list[str] | None = None) -> DataFrame:
+    """Rows of both sides whose intervals share at least one base, columns named l_* and r_*, with ``bp`` shared. on: further columns
+    that must be equal and keep their name.
 
     Both sides are dealt to the buckets of a chromosome that they touch and joined on (chrom, bucket); the bucket in which the
     shared part begins owns a pair, so each is made once, without a distinct. A chromosome is as many keys as it has buckets."""
 
+    keys = [*(on or []), "chrom"]
+
     def dealt(rows: DataFrame, p: str) -> DataFrame:
-        named = rows.where("end > start").select(*(F.col(c).alias(f"{p}_{c}") for c in rows.columns if c != "chrom"), "chrom")
+        named = rows.where("end > start").select(*(F.col(c).alias(f"{p}_{c}") for c in rows.columns if c not in keys), *keys)
         return named.withColumn("bucket", F.explode(F.sequence(F.expr(f"{p}_start div {width}"), F.expr(f"({p}_end - 1) div {width}"))))
 
     first = F.greatest("l_start", "r_start")
-    joined = dealt(left, "l").join(dealt(right, "r"), ["chrom", "bucket"]).where("l_start < r_end and r_start < l_end")
+    joined = dealt(left, "l").join(dealt(right, "r"), [*keys, "bucket"]).where("l_start < r_end and r_start < l_end")
     return joined.where(F.floor(first / width) == F.col("bucket")).withColumn("bp", F.least("l_end", "r_end") - first).drop("bucket")
 
 

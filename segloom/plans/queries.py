@@ -18,6 +18,7 @@ from ..operators import interpretation as P
 from ..operators import intervals as I
 from ..operators import matching as M
 from ..operators import overlap as O
+from ..operators import reports as T
 from ..operators import scoring as S
 from . import views as V
 
@@ -715,6 +716,53 @@ def common_states(spark, sf):
     return e.where("event_id % 2 = 0").select("state").intersect(e.where("event_id % 2 = 1").select("state"))
 
 
+# --- reports ---------------------------------------------------------------------------------------------------------------------
+
+_CP = {"sg": "SELECT 's' || side AS id, chrom, start, \"end\", state FROM seg", "o": """SELECT a.state AS s1, b.state AS s2, CAST(sum(least(a."end", b."end") - greatest(a.start, b.start)) AS DOUBLE) AS bp FROM sg a JOIN sg b
+    ON a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" WHERE a.id = 's0' AND b.id = 's1' GROUP BY 1, 2""", "t": "SELECT sum(bp) AS t, sum(CASE WHEN s1 = s2 THEN bp ELSE 0 END) AS same FROM o",
+    "c": "SELECT sum(m1 * m2) AS mm FROM (SELECT s1 AS s, sum(bp) AS m1 FROM o GROUP BY 1) JOIN (SELECT s2 AS s, sum(bp) AS m2 FROM o GROUP BY 1) USING (s)",
+    "j": """SELECT avg(coalesce(o.bp, 0) / (x.b + y.b - coalesce(o.bp, 0))) AS mj, sum(x.b) AS g FROM (SELECT state, sum("end" - start) AS b FROM sg WHERE id = 's0' GROUP BY 1) x
+    JOIN (SELECT state, sum("end" - start) AS b FROM sg WHERE id = 's1' GROUP BY 1) y USING (state) LEFT JOIN o ON s1 = x.state AND s2 = x.state"""}
+
+
+@query(V.with_views("seg", _CP, """SELECT 's0' AS a, 's1' AS b, round(same / g, 6) AS overlap_fraction, round((same / t - mm / (t * t)) / (1 - mm / (t * t)), 6) AS kappa, round(mj, 6) AS mean_jaccard FROM t, c, j"""))
+def compare_pairs(spark, sf):
+    s = V.seg(spark, sf).withColumn("id", F.concat(F.lit("s"), F.col("side").cast("string"))).drop("side")
+    return rounded(T.compare_pairs(s, spark.createDataFrame([("s0", "s1")], "a string, b string"), WIDTH))
+
+
+@query(V.with_views("seg ann", _enrich_sql('SELECT chrom, start, "end", state FROM seg WHERE side = 0'), "SELECT label, jaccard FROM out WHERE state = 'view' AND label LIKE 'O%'"))
+def annotation_jaccard(spark, sf):
+    return T.annotation_jaccard(R.enrichment(sides(spark, sf)[0], V.ann(spark, sf), WIDTH), "view", "O")
+
+
+@query(V.with_views("peaks", {"m": _ISL.format(keys="mark, chrom", src="(SELECT * FROM peaks WHERE \"end\" > start)")}, """SELECT mark, n, last, bp FROM (SELECT mark, count(*) AS n, max("end") AS last FROM peaks GROUP BY 1)
+    JOIN (SELECT mark, CAST(sum("end" - start) AS BIGINT) AS bp FROM m GROUP BY 1) USING (mark)"""))
+def footprint(spark, sf):
+    return T.footprint(V.peaks(spark, sf), ["mark"])
+
+
+@query("""WITH p AS (SELECT l_returnflag AS method, CAST(l_linenumber AS BIGINT) AS threshold, l_suppkey, avg(CAST(l_quantity AS DOUBLE)) / 50 AS tpr, avg(CAST(l_discount AS DOUBLE)) * 10 AS precision FROM lineitem GROUP BY 1, 2, 3)
+    SELECT method, threshold, round(avg(100 * tpr), 4) AS tpr_mean, round(var_samp(100 * tpr), 4) AS tpr_var, round(avg(100 * precision), 4) AS precision_mean, round(var_samp(100 * precision), 4) AS precision_var FROM p GROUP BY 1, 2""")
+def by_threshold(spark, sf):
+    t = V.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("method"), F.col("l_linenumber").cast("long").alias("threshold"), "l_suppkey")
+    return rounded(T.by_threshold(t.agg((F.avg(F.col("l_quantity").cast("double")) / 50).alias("tpr"), (F.avg(F.col("l_discount").cast("double")) * 10).alias("precision"))), 4)
+
+
+@query("""WITH z AS (SELECT 'chr' || (l_suppkey % 5) AS chrom, max(l_orderkey * 100 + CAST(l_quantity AS BIGINT) * 10) AS size FROM lineitem GROUP BY 1)
+    SELECT chrom, size, n_bins, CAST(coalesce(sum(n_bins) OVER (ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_bin FROM (SELECT *, (size + 99) // 100 AS n_bins FROM z)""")
+def chrom_offsets(spark, sf):
+    z = _sizes(spark, sf).withColumn("ord", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("chrom")))
+    return T.offsets(z, 100).select("chrom", "size", F.col("n_bins").cast("long").alias("n_bins"), F.col("first_bin").cast("long").alias("first_bin"))
+
+
+@query("""(SELECT DISTINCT 'k' || (event_id % 6) AS item, 'before' AS side FROM events WHERE value > 20 EXCEPT SELECT DISTINCT 'k' || (event_id % 4), 'before' FROM events WHERE value > 20)""")
+def dropped_items(spark, sf):
+    e = V.table(spark, sf, "events").where("value > 20")
+    names = lambda k: e.select(F.concat(F.lit("k"), (F.col("event_id") % k).cast("string")).alias("item")).distinct()
+    return T.dropped_items(names(6), names(4))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
