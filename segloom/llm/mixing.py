@@ -27,6 +27,10 @@ from .text import WORD
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Documents of a source whose offsets are summed up in one task.
 BUCKET = 20_000
+#: Output shards at most, and counts of shards and sources that are drawn at most; beyond, shards hold more slots.
+SHARDS, PARTS = 4096, 2_000_000
+#: Slots that one row stands for before they are dealt to tasks.
+RUN = 1 << 16
 #: Sources that a mix may have: their table is collected and broadcast.
 SOURCES = 100_000
 
@@ -96,7 +100,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """One row per document: doc_id, size, source_size, target, taken, once (words taken at least once). carry adds
     spans, the taken word ranges [first, end, times) in the document, and the row's columns as struct ``row``.
 
-    block: words in a block; shard: slots in an output shard; weights, share: see ``targets``."""
+    block: words in a block; shard: slots in an output shard, if that gives no more than ``SHARDS``; weights, share: see ``targets``."""
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "mix")
     sized = scratch.write(
         docs.select(
@@ -115,7 +119,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     # whole blocks that come nearest to each target; the last block of a source is shorter
     blocks = [-(-r.source_size // block) for r in known]
     slots = [min(2 * b, round(t * b / r.source_size)) if r.source_size else 0 for r, t, b in zip(known, want, blocks, strict=True)]
-    n_shards = max(1, -(-sum(slots) // shard))
+    n_shards = max(1, min(-(-sum(slots) // shard), SHARDS, PARTS // max(1, len(known))))
     counts = draw(slots, n_shards, seed)
     info = spark.createDataFrame(
         [(i, r.source, int(r.source_size), float(t), int(b), max(1, r.n_docs // BUCKET)) for i, (r, t, b) in enumerate(zip(known, want, blocks, strict=True))],
@@ -135,9 +139,11 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
             if c:
                 first.append((s, j, begin[j], begin[j] + c))
                 begin[j] += c
-    runs = spark.createDataFrame(first, "shard int, k int, lo long, hi long").repartition(max(1, min(n_shards, 4096)))
+    runs = spark.createDataFrame(first, "shard int, k int, lo long, hi long")
+    pieces = runs.select("k", "hi", F.explode(F.sequence("lo", F.col("hi") - 1, F.lit(RUN).cast("long"))).alias("at"))
+    pieces = pieces.repartition(max(1, min(sum(slots) // RUN, 100_000)))
     slot = (
-        runs.select("shard", "k", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("i"))
+        pieces.select("k", F.explode(F.sequence("at", F.least(F.col("at") + RUN, "hi") - 1)).alias("i"))
         .join(F.broadcast(info.select("k", "n_blocks")), "k")
         .withColumn("pass", F.expr("i div n_blocks"))
         .withColumn("x", F.expr("i % n_blocks"))
