@@ -118,25 +118,30 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """Per document: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found (spans that the contexts added)."""
     scratch = Scratch(docs.sparkSession, "pii")
     scanned = scratch.write(scan(docs, id_col, text_col))
-    base = scratch.write(places(scanned, KINDS).where(valid(F.col("kind"), F.col("m"))))
+    base = places(scanned, KINDS).where(valid(F.col("kind"), F.col("m")))
     # other tokens with three digits or more, without the punctuation around them and the cue in front
-    token = places(scanned, ("token",))
-    body = F.regexp_extract(F.col("m"), r"\A([^A-Za-z0-9]*(?:[A-Za-z_.-]*[=:][^A-Za-z0-9]*)?)(.*?)[^A-Za-z0-9]*\z", 2)
-    front = F.regexp_extract(F.col("m"), r"\A([^A-Za-z0-9]*(?:[A-Za-z_.-]*[=:][^A-Za-z0-9]*)?)(.*?)[^A-Za-z0-9]*\z", 1)
-    token = token.where(F.length("m") <= 256).withColumn("item", body).withColumn("cue", F.lower(front)).withColumn("start", F.col("start") + F.length("cue"))
-    token = token.withColumn("end", F.col("start") + F.length("item")).where((F.length("item") >= 6) & (F.length(_digits(F.col("item"))) >= 3))
-    covered = token.join(base.select("rid", F.col("start").alias("s"), F.col("end").alias("e")), "rid").where("s < end and start < e").select("rid", "start").distinct()
-    other = scratch.write(token.join(covered, ["rid", "start"], "left_anti").select("rid", "start", "end", "item", "cue", "left", "right"))
-    seeds = base.select(F.col("m").alias("item"), "kind", F.lit("").alias("cue"), "left", "right")
-    edges = scratch.write(
-        _contexts(seeds).unionByName(_contexts(other)).groupBy("side", "w", "item").agg(F.count("*").alias("n"))
-    )
-    sure = seeds.select("item", "kind").distinct().withColumn("score", F.lit(1.0))
-    # only patterns that enough seeds bear out can ever count in the first round; later rounds add to them
+    parts = r"\A([^A-Za-z0-9]*(?:[A-Za-z_.-]*[=:][^A-Za-z0-9]*)?)(.*?)[^A-Za-z0-9]*\z"
+    token = places(scanned, ("token",)).where(F.length("m") <= 256)
+    token = token.withColumn("item", F.regexp_extract("m", parts, 2)).withColumn("cue", F.lower(F.regexp_extract("m", parts, 1)))
+    token = token.withColumn("start", F.col("start") + F.length("cue")).withColumn("end", F.col("start") + F.length("item"))
+    token = token.where((F.length("item") >= 6) & (F.length(_digits(F.col("item"))) >= 3))
+    # one pass by document: what begins before a token and ends after its start covers it
+    columns = ["rid", "kind", "start", "end", "item", "cue", "left", "right"]
+    both = base.select("rid", "kind", "start", "end", F.col("m").alias("item"), F.lit("").alias("cue"), "left", "right").unionByName(
+        token.withColumn("kind", F.lit(None).cast("string")).select(*columns)
+    )
+    at = Window.partitionBy("rid").orderBy("start", F.col("kind").isNull(), "end")
+    is_base, none = F.col("kind").isNotNull(), F.lit(1 << 62)
+    reach = F.max(F.when(is_base, F.col("end")).otherwise(0)).over(at.rowsBetween(Window.unboundedPreceding, 0))
+    following = F.min(F.when(is_base, F.col("start")).otherwise(none)).over(at.rowsBetween(0, Window.unboundedFollowing))
+    marked = both.withColumn("__r", reach).withColumn("__n", following)
+    found = scratch.write(marked.where(is_base | ((F.col("__r") <= F.col("start")) & (F.col("__n") >= F.col("end")))).select(*columns))
+    base, other = found.where("kind is not null"), found.where("kind is null").drop("kind")
+    edges = _contexts(found).groupBy("side", "w", "item").agg(F.count("*").alias("n"))
     by_cue = edges.where("side = 'P'").groupBy("side", "w").agg(F.sum("n").alias("occurs"))
-    by_word = edges.where("side <> 'P'").select("side", "w").distinct().join(words(docs, text_col), "w").select("side", "w", F.col("n").alias("occurs"))
-    occurs = scratch.write(by_cue.unionByName(by_word))
-    graph = scratch.write(edges.join(occurs, ["side", "w"]))
+    by_word = words(docs, text_col).select(F.explode(F.array(F.lit("L"), F.lit("R"))).alias("side"), "w", F.col("n").alias("occurs"))
+    graph = scratch.write(edges.join(by_cue.unionByName(by_word), ["side", "w"]))
+    sure = base.select("item", "kind").distinct().withColumn("score", F.lit(1.0))
     scores = sure
     for _ in range(ROUNDS):
         pattern = (
@@ -146,7 +151,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             .where((F.col("support") >= SUPPORT) & (F.col("conf") >= SURE))
         )
         reached = graph.join(pattern, ["side", "w"]).groupBy("item", "kind").agg(F.max("conf").alias("score"))
-        scores = scratch.write(sure.unionByName(reached).groupBy("item", "kind").agg(F.max("score").alias("score")))
+        scores = sure.unionByName(reached).groupBy("item", "kind").agg(F.max("score").alias("score"))
     best = scores.groupBy("item").agg(F.max(F.struct("score", "kind")).alias("b")).select("item", F.col("b.kind").alias("kind"))
     added = other.join(best, "item").select("rid", "kind", "start", "end", F.lit(False).alias("base"))
     order = reduce(lambda c, k: c.when(F.col("kind") == k, KINDS.index(k)), KINDS[1:], F.when(F.col("kind") == KINDS[0], 0))
