@@ -42,8 +42,12 @@ def quality_sweep(patterns: DataFrame, n_marks: int, ks: list[int], restarts: in
     at the first k above the number of patterns."""
     vec = patterns.select("code", "n", array_to_vector(F.transform(bits_of(F.col("code"), n_marks), lambda x: x.cast("double"))).alias("features"))
     count, out = patterns.count(), []
-    one = KMeans(k=1, seed=seed, weightCol="n").fit(vec).summary.trainingCost if count else 0.0
+    bit = [F.sum(F.col("n") * F.get(bits_of(F.col("code"), n_marks), F.lit(j))) for j in range(n_marks)]
+    whole, *ones = patterns.agg(F.sum("n"), *bit).first()
+    one = sum(x - x * x / whole for x in ones) if whole else 0.0  # bits are their own squares
     for k in ks:
+        if k < 2:
+            raise ValueError("k of 2 or more")
         if k > count:
             break
         models = [KMeans(k=k, seed=seed + i, weightCol="n", maxIter=100).fit(vec) for i in range(restarts)]

@@ -20,6 +20,8 @@ from ..operators import matching as M
 from ..operators import overlap as O
 from ..operators import reports as T
 from ..operators import scoring as S
+from ..sources import readers, writers
+from ..sources.folder import shared_folder
 from . import views as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -763,6 +765,101 @@ def dropped_items(spark, sf):
     return T.dropped_items(names(6), names(4))
 
 
+# --- files -----------------------------------------------------------------------------------------------------------------------
+
+
+@query(V.with_views("seg", {}, 'SELECT chrom, start, "end", state FROM seg WHERE side = 0'))
+def bed_round_trip(spark, sf):
+    path = shared_folder(spark, "bed")
+    writers.write_bed(sides(spark, sf)[0], path)
+    return readers.read_bed(spark, path).select("chrom", "start", "end", "state")
+
+
+@query(V.with_views("peaks", _BIT, "SELECT chrom, bin, mark FROM bits"))
+def binary_round_trip(spark, sf):
+    path = shared_folder(spark, "binary")
+    bits = _bits(spark, sf)
+    bins = _sizes(spark, sf).select("chrom", F.ceil(F.col("size") / 100).alias("n_bins"))
+    writers.write_binary(bits, bins, MARKS, "cell", path)
+    return readers.read_binary(spark, f"{path}/*/*.gz").where("v = 1").select("chrom", "bin", "mark")
+
+
+@query(V.with_views("emis", {}, "SELECT state, mark, round(value, 4) AS value FROM emis"))
+def matrix_round_trip(spark, sf):
+    path = shared_folder(spark, "matrix")
+    writers.write_table(writers.wide(V.emis(spark, sf), "state", "mark", "value", [f"m{j}" for j in range(6)]), path)
+    return readers.read_matrix(spark, path)
+
+
+# --- more reports ------------------------------------------------------------------------------------------------------------------
+
+
+@query(V.with_views("seg", _TR | {"h": "SELECT side, from_state AS state, sum(-p * log2(p)) AS h FROM (SELECT *, n / sum(n) OVER (PARTITION BY side, from_state) AS p FROM tr) GROUP BY 1, 2"},
+    """SELECT side, state, n, total_bp, mean_len, median_len, share, round(coalesce(h, 0.0), 6) AS entropy FROM (SELECT side, state, count(*) AS n, CAST(sum("end" - start) AS BIGINT) AS total_bp, round(avg("end" - start), 1) AS mean_len,
+    round(median("end" - start), 1) AS median_len, round(sum("end" - start) / sum(sum("end" - start)) OVER (PARTITION BY side), 6) AS share FROM seg GROUP BY 1, 2) LEFT JOIN h USING (side, state)"""))
+def segmentation_summary(spark, sf):
+    return T.segmentation_summary(V.seg(spark, sf), BIN, ["side"])
+
+
+@query(V.with_views("seg", {}, """SELECT chrom, start, "end", CASE state WHEN 'click' THEN 'Tss' WHEN 'view' THEN 'Enh' ELSE state END AS state FROM seg WHERE side = 0"""))
+def relabel(spark, sf):
+    m = spark.createDataFrame([("click", "1_Tss"), ("view", "2_Enh")], "work_state string, ref_state string")
+    return M.relabel(sides(spark, sf)[0], m)
+
+
+@query(V.with_views("seg", {}, """SELECT state, min_by(chrom || ',0,0', start * 1000000 + CAST(substr(chrom, 4) AS BIGINT)) AS color FROM seg WHERE side = 0 GROUP BY 1"""))
+def state_colors(spark, sf):
+    rows = sides(spark, sf)[0].withColumn("color", F.concat("chrom", F.lit(",0,0"))).withColumn("ord", F.col("start") * 1000000 + F.substring("chrom", 4, 9).cast("long"))
+    return M.state_colors(rows)
+
+
+_VAL = """SELECT l_returnflag || l_linestatus AS a, l_returnflag || 'F' AS b, round(avg(CAST(l_tax AS DOUBLE)), 6) AS value FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1, 2"""
+
+
+def _values(spark, sf):
+    t = V.table(spark, sf, "lineitem").where("l_linestatus = 'O'")
+    return t.groupBy(F.concat("l_returnflag", "l_linestatus").alias("a"), F.concat("l_returnflag", F.lit("F")).alias("b")).agg(F.round(F.avg(F.col("l_tax").cast("double")), 6).alias("value"))
+
+
+@query(f"""WITH v AS ({_VAL}), l AS (SELECT DISTINCT l_returnflag || l_linestatus AS n FROM lineitem) SELECT x.n AS a, y.n AS b,
+    CASE WHEN x.n = y.n THEN 1.0 ELSE coalesce(v.value, w.value, 0.0) END AS value FROM l x CROSS JOIN l y LEFT JOIN v ON v.a = x.n AND v.b = y.n LEFT JOIN v w ON w.b = x.n AND w.a = y.n""")
+def symmetric_matrix(spark, sf):
+    labels = V.table(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("label")).distinct()
+    return A.symmetric_matrix(_values(spark, sf), labels)
+
+
+@query("""WITH r AS (SELECT event_type AS state, user_id % 7 AS dataset, count(*) AS n FROM events WHERE value > 60 GROUP BY 1, 2) SELECT s.state, d.dataset, coalesce(n, 0) AS n
+    FROM (SELECT DISTINCT event_type AS state FROM events) s CROSS JOIN (SELECT DISTINCT user_id % 7 AS dataset FROM events) d LEFT JOIN r USING (state, dataset)""")
+def reindex(spark, sf):
+    e = V.table(spark, sf, "events").select(F.col("event_type").alias("state"), (F.col("user_id") % 7).alias("dataset"), "value")
+    keys = e.select("state").distinct().join(F.broadcast(e.select("dataset").distinct()), F.lit(True))
+    return S.reindex(e.where("value > 60").groupBy("state", "dataset").agg(F.count("*").alias("n")), keys, ["state", "dataset"], 0)
+
+
+@query("""SELECT event_type AS state, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 2 + dense_rank() OVER (PARTITION BY event_type IN ('view', 'click') ORDER BY event_type) END AS ord
+    FROM (SELECT DISTINCT event_type FROM events)""")
+def known_order(spark, sf):
+    return S.in_order(V.table(spark, sf, "events").select(F.col("event_type").alias("state")).distinct(), "state", ["view", "click"])
+
+
+@query(V.with_views("seg ann", _enrich_sql('SELECT chrom, start, "end", state FROM seg WHERE side = 0'), """SELECT label, round(sum(sensitivity), 6) AS sensitivity FROM out WHERE state IN ('click', 'view') GROUP BY 1"""))
+def pooled_sensitivity(spark, sf):
+    table = R.enrichment(sides(spark, sf)[0], V.ann(spark, sf), WIDTH)
+    return rounded(table.where(F.col("state").isin("click", "view")).groupBy("label").agg(F.sum("sensitivity").alias("sensitivity")))
+
+
+@query()
+def kmeans_quality(spark, sf):
+    rows = C.quality_sweep(B.patterns(_codes(spark, sf)).select("code", "n"), 6, [2, 3, 4], restarts=1)
+    return spark.createDataFrame([tuple(r.values()) for r in rows], "k int, inertia double, silhouette double, entropy double, states int")
+
+
+@query()
+def random_bijection(spark, sf):
+    states = V.seg(spark, sf).select("state").distinct()
+    return M.random_bijection(states, states, 7)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
