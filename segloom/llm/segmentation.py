@@ -21,9 +21,9 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +34,10 @@ from .text import slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
+#: Characters of a chunk whose path sums fit a double without scaling.
+LONG = 60
+#: Log mass under which a region is looked at only if it could still be among the best.
+NEGLIGIBLE = 45.0
 _CHUNKS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 _STEP, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -45,6 +49,14 @@ def uniform(key: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(12)).astype(np.float64) * 2.0**-52 + 2.0**-53
 
 
+#: Bits of a slot of the transition table.
+BITS = 19
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return ((key.astype(np.uint64) * _STEP) >> np.uint64(64 - BITS)).astype(np.int64)
+
+
 class Pieces:
     """A vocabulary: prefixes with the piece that they are, weights, and the bytes that each piece stands for."""
 
@@ -73,10 +85,36 @@ class Pieces:
                 self.trie[piece] = i
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.trie):
             raise ValueError("pieces of this vocabulary reach over chunks")
-        self.size, self.alpha = n, alpha
+        # the trie as a hash table of transitions: state and character to state; state 0 is the empty prefix
+        state = {"": 0} | {p: k + 1 for k, p in enumerate(self.trie)}
+        self.keys, self.to = np.full(1 << BITS, -1, np.int64), np.zeros(1 << BITS, np.int32)
+        keys = np.array([state[p[:-1]] << 21 | ord(p[-1]) for p in state if p], np.int64)
+        for slot, key, k in zip(_slot(keys).tolist(), keys.tolist(), range(1, len(state)), strict=True):
+            while self.keys[slot] >= 0:
+                slot = (slot + 1) & ((1 << BITS) - 1)
+            self.keys[slot], self.to[slot] = key, k
+        self.piece_of = np.array([-1, *self.trie.values()], np.int32)
+        self.size, self.alpha, self._weights = n, alpha, np.empty(0)
         self.spelled: list[list[int]] = [[i] for i in range(n)]
         self.spelling: dict[str, int] = {}
 
+    def follow(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which transitions there are, and the states that they lead to."""
+        slot = _slot(key)
+        held = self.keys[slot]
+        late = np.nonzero((held != key) & (held >= 0))[0]
+        while len(late):  # the next slots, while they are taken by others
+            slot[late] = (slot[late] + 1) & ((1 << BITS) - 1)
+            held[late] = self.keys[slot[late]]
+            late = late[(held[late] != key[late]) & (held[late] >= 0)]
+        hit = held == key
+        return hit, self.to[slot[hit]]
+
+    def weights(self) -> np.ndarray:
+        if len(self._weights) != len(self.weight):
+            self._weights = np.array(self.weight)
+        return self._weights
+
     def spell(self, char: str) -> int:
         """Number of the byte pieces of a character, past the vocabulary unless it is one byte."""
         if char not in self.spelling:
@@ -96,65 +134,94 @@ def pieces(path: str, alpha: float) -> Pieces:
     return Pieces(path, alpha)
 
 
-class Lattices(dict):
-    """Start node of each chunk. Edges of a node stand together, the likeliest first: piece, node that follows (-1 at the chunk's
-    end), log probability and cumulative probability."""
-
-    def __init__(self, vocab: Pieces, most: int = 3_000_000):
-        super().__init__()
-        self.vocab, self.most = vocab, most
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.first, self.piece, self.next, self.logq, self.cum = array("q"), array("q"), array("q"), array("d"), array("d")
-
-    def views(self) -> None:
-        """Arrays over what has been built so far."""
-        self.a_first = np.array(self.first + array("q", [len(self.piece)]))
-        self.a_piece, self.a_next, self.a_logq, self.a_cum = (np.array(x) for x in (self.piece, self.next, self.logq, self.cum))
-
-    def __missing__(self, chunk: str) -> int:
-        trie, weight, n = self.vocab.trie, self.vocab.weight, len(chunk)
-        base = len(self.first)
-        # backward sums, scaled by 2 ** -shift so that long chunks do not underflow
-        back, shift, edges = [0.0] * n + [1.0], [0] * (n + 1), [None] * n
-        for at in range(n - 1, -1, -1):
-            found, total, ref = [], 0.0, shift[at + 1]
-            for to in range(at + 1, n + 1):
-                i = trie.get(chunk[at:to])
-                if i is None:
-                    break
-                if i >= 0:
-                    v = weight[i] * back[to]
-                    if shift[to] != ref:
-                        v = math.ldexp(v, ref - shift[to])
-                    total += v
-                    found.append((v, i, to))
-            if not found:
-                i = self.vocab.spell(chunk[at])
-                total = weight[i] * back[at + 1]
-                found.append((total, i, at + 1))
-            if total < 1e-200:
-                m, e = math.frexp(total)
-                back[at], shift[at] = m, ref - e
-            else:
-                back[at], shift[at] = total, ref
-            found.sort(reverse=True)
-            edges[at] = (found, total)
-        for found, total in edges:
-            self.first.append(len(self.piece))
-            upto = 0.0
-            for v, i, to in found:
-                q = v / total
-                upto += q
-                self.piece.append(i)
-                self.next.append(-1 if to == n else base + to)
-                self.logq.append(math.log(q) if q > 0 else -1e3)
-                self.cum.append(upto)
-            self.cum[-1] = 2.0
-        self[chunk] = base
-        return base
+class Lattices:
+    """Lattices of the distinct chunks of a batch, built together. A node is a character of a chunk; the edges of a node stand
+    together, the likeliest first: piece, node that follows (-1 at the chunk's end), log probability and cumulative probability."""
+
+    def __init__(self, vocab: Pieces):
+        self.vocab = vocab
+
+    def build(self, chunks: list[str]) -> np.ndarray:
+        """Start node of each of the distinct chunks."""
+        order = [k for k, c in enumerate(chunks) if len(c) <= LONG] + [k for k, c in enumerate(chunks) if len(c) > LONG]
+        sizes = np.fromiter((len(chunks[k]) for k in order), np.int64, len(order))
+        offsets = np.cumsum(sizes) - sizes
+        n_short = int(np.searchsorted(sizes > LONG, True))
+        total = int(sizes.sum())
+        cp = np.frombuffer("".join(chunks[k] for k in order).encode("utf-32-le"), np.uint32).astype(np.int64)
+        end = np.repeat(offsets + sizes, sizes)
+        first, at, to, piece = self._edges(cp, end)
+        weight = self.vocab.weights()[piece]
+        last = to == end[at]
+        self.a_first, self.a_piece, self.a_next = first, piece, np.where(last, -1, to)
+        # backward sums of the paths to the chunk's end, by distance from it
+        plain = int(first[offsets[n_short]]) if n_short < len(order) else len(at)
+        far = (end[at[:plain]] - at[:plain]).astype(np.uint8)
+        by_far = np.argsort(far, kind="stable")
+        stops = np.searchsorted(far[by_far], np.arange(1, LONG + 2))
+        back, value, total_of = np.zeros(total + 1), np.empty(plain), np.empty(plain)
+        here, follow = at[by_far], np.where(last[:plain], total, to[:plain])[by_far]
+        back[total], heavy = 1.0, weight[by_far]
+        for d in range(LONG):
+            e = slice(stops[d], stops[d + 1])
+            if e.start < e.stop:
+                value[e] = heavy[e] * back[follow[e]]
+                group = np.nonzero(np.diff(here[e], prepend=-1))[0]
+                back[here[e][group]] = np.add.reduceat(value[e], group)
+                total_of[e] = back[here[e]]
+        q = np.empty(len(at))
+        q[by_far] = value / total_of
+        for k in range(n_short, len(order)):  # few; sums are scaled as they would underflow
+            lo, hi = first[offsets[k]], first[offsets[k] + sizes[k]]
+            q[lo:hi] = np.exp(self._long(at[lo:hi] - offsets[k], to[lo:hi] - offsets[k], weight[lo:hi], int(sizes[k])))
+        self.a_logq = np.log(np.maximum(q, 1e-300))
+        upto = np.cumsum(q)
+        head = first[at]
+        self.a_cum = upto - (upto[head] - q[head])
+        self.a_cum[first[1:] - 1] = 2.0
+        start = np.empty(len(chunks), np.int64)
+        start[order] = offsets
+        return start
+
+    def _edges(self, cp: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(first edge of each place, from, to, piece) of every piece that matches at a place; a place's longest piece is first, as
+        the likeliest mostly is."""
+        v, places = self.vocab, np.arange(len(cp))
+        live, state, found, n = places, np.zeros(len(cp), np.int64), [], 0
+        counts = np.zeros(len(cp), np.int64)
+        while len(live):
+            on = live + n < end[live]
+            live, state = live[on], state[on]
+            key = state << 21 | cp[live + n]
+            hit, state = v.follow(key)
+            live, state, n = live[hit], state.astype(np.int64), n + 1
+            piece = v.piece_of[state]
+            is_piece = piece >= 0
+            found.append((live[is_piece], n, piece[is_piece]))
+            counts[found[-1][0]] += 1
+        bare = np.nonzero(counts == 0)[0]
+        chars, which = np.unique(cp[bare], return_inverse=True)
+        spelled = np.array([v.spell(chr(c)) for c in chars], np.int64)[which] if len(bare) else np.empty(0, np.int64)
+        found.append((bare, 1, spelled))
+        counts[bare] = 1
+        first = np.concatenate([[0], np.cumsum(counts)])
+        slot, to, piece = first[:-1].copy(), np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
+        for place, n, which_piece in reversed(found):
+            at = slot[place]
+            to[at], piece[at] = place + n, which_piece
+            slot[place] += 1
+        return first, np.repeat(places, counts), to, piece
+
+    @staticmethod
+    def _long(at: np.ndarray, to: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """Log probabilities of one long chunk's edges, given in the order of places."""
+        log, back = np.log(weight), np.zeros(n + 1)
+        first = np.searchsorted(at, np.arange(n + 1))
+        for k in range(n - 1, -1, -1):
+            x = log[first[k] : first[k + 1]] + back[to[first[k] : first[k + 1]]]
+            top = x.max()
+            back[k] = top + np.log(np.exp(x - top).sum())
+        return log + back[to] - back[at]
 
     def walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of a random path from each node to its chunk's end (-1: none), one after another, and their counts."""
@@ -173,7 +240,7 @@ class Lattices(dict):
             on = at >= 0
             live, at, key = live[on], at[on], key[on]
         start = np.cumsum(counts) - counts
-        flat = np.empty(int(counts.sum()), np.int64)
+        flat = np.empty(int(counts.sum()), np.int32)
         for k, (i, e) in enumerate(steps):
             flat[start[i] + k] = e
         return flat, counts
@@ -182,7 +249,7 @@ class Lattices(dict):
 class Path:
     """A sampled segmentation of a text: its edges, the chunk of each, and the bounds of the regions that leave it."""
 
-    __slots__ = ("edges", "chunk", "logq", "bound", "branch", "barred", "value", "logp")
+    __slots__ = ("edges", "chunk", "bound", "branch", "barred", "value", "logp")
 
 
 def bounds(phi: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
@@ -195,23 +262,22 @@ def bounds(phi: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
 def sample(texts: list[str], keys: list[int], lattices: Lattices, k: int) -> Iterator[tuple[list[Path], float]]:
     """Of each text, up to k distinct segmentations and the bound after the last (kappa)."""
     chunks = [_CHUNKS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-    if len(lattices.piece) > lattices.most:
-        lattices.reset()
     sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-    starts = np.fromiter((lattices[c] for cs in chunks for c in cs), np.int64, int(sizes.sum()))
-    lattices.views()
+    every = list(chain.from_iterable(chunks))
+    number = {c: i for i, c in enumerate(dict.fromkeys(every))}
+    starts = lattices.build(list(number))[np.fromiter(map(number.__getitem__, every), np.int64, len(every))]
     key = np.array(keys, np.int64).view(np.uint64)
     ends = np.cumsum(sizes)
     began = ends - sizes
     item_key = uniform_key(np.repeat(key, sizes), np.arange(len(starts)) - np.repeat(began, sizes))
     flat, counts = lattices.walk(starts, item_key)
     where = np.concatenate([[0], np.cumsum(counts)])
-    chunk_of = np.repeat(np.arange(len(starts)) - np.repeat(began, sizes), counts)
+    chunk_of = np.repeat((np.arange(len(starts)) - np.repeat(began, sizes)).astype(np.int32), counts)
     tops = -np.log(-np.log(uniform(key * _M1 + _STEP)))
     done: list[list[Path]] = []
     for d in range(len(texts)):
         lo, hi = where[began[d]], where[ends[d]]
-        done.append([_path(lattices, flat[lo:hi], chunk_of[lo:hi], 0, (), float(tops[d]), key[d])])
+        done.append([_path(lattices, flat[lo:hi], chunk_of[lo:hi], 0, (), float(tops[d]), key[d], k)])
     keys_of = [uniform_key(key, np.full(len(key), (1 << 52) + r)) for r in range(k)]
     for r in range(1, k):
         nodes, node_keys, picked = [], [], []
@@ -236,9 +302,9 @@ def sample(texts: list[str], keys: list[int], lattices: Lattices, k: int) -> Ite
         before = 0
         for d, best, j, e, c, barred, value, n in picked:
             stop = int(upto[at + n - 1])
-            edges = np.concatenate([best.edges[:j], [e], flat[before:stop]])
-            of = np.concatenate([best.chunk[:j], [c], np.repeat(c + np.arange(n), counts[at : at + n])])
-            done[d].append(_path(lattices, edges, of, j, barred, value, keys_of[r][d]))
+            edges = np.concatenate([best.edges[:j], np.array([e], np.int32), flat[before:stop]])
+            of = np.concatenate([best.chunk[:j], np.array([c], np.int32), np.repeat((c + np.arange(n)).astype(np.int32), counts[at : at + n])])
+            done[d].append(_path(lattices, edges, of, j, barred, value, keys_of[r][d], k))
             at, before = at + n, stop
     for paths in done:
         yield paths, max(float(p.bound.max(initial=-np.inf)) for p in paths)
@@ -250,22 +316,33 @@ def uniform_key(key: np.ndarray, item: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _path(lat: Lattices, edges: np.ndarray, chunk: np.ndarray, branch: int, barred: tuple[int, ...], value: float, key: np.uint64) -> Path:
+def _path(lat: Lattices, edges: np.ndarray, chunk: np.ndarray, branch: int, barred: tuple[int, ...], value: float, key: np.uint64, k: int) -> Path:
     """A segmentation that left its parent at ``branch``, where the edges ``barred`` belong to others."""
     p = Path()
     p.edges, p.chunk, p.branch, p.barred, p.value = edges, chunk, branch, barred, value
-    p.logq = lat.a_logq[edges]
-    p.logp = float(p.logq.sum())
-    before = np.cumsum(p.logq) - p.logq
-    taken = np.exp(p.logq)
+    logq = lat.a_logq[edges]
+    before = np.cumsum(logq)
+    p.logp = float(before[-1]) if len(before) else 0.0
+    before -= logq
+    # a bound is at most 37 over its region's mass, so regions of much less mass than the k-th bound so far cannot be among the best k
+    n = max(int(np.searchsorted(-before, NEGLIGIBLE)), branch + 1)
+    p.bound = _bounds(lat, edges[:n], logq[:n], before[:n], branch, barred, value, key)
+    if n < len(edges) and (len(p.bound) <= k or np.partition(p.bound, -k)[-k] <= before[n] + 37):
+        p.bound = _bounds(lat, edges, logq, before, branch, barred, value, key)
+    return p
+
+
+def _bounds(lat: Lattices, edges: np.ndarray, logq: np.ndarray, before: np.ndarray, branch: int, barred: tuple[int, ...], value: float, key: np.uint64) -> np.ndarray:
+    """Bounds of the regions that leave a path at each place from ``branch`` on."""
+    taken = np.exp(logq)
     if barred:
         taken[branch] += np.exp(lat.a_logq[list(barred)]).sum()
     with np.errstate(divide="ignore"):
         left = np.where(taken < 1 - 1e-12, np.log1p(-np.minimum(taken, 1)), -np.inf)
     u = uniform(uniform_key(np.full(len(edges), key), np.arange(len(edges)) + (1 << 50)))
-    p.bound = bounds(before + left, value, u)
-    p.bound[:branch] = -np.inf
-    return p
+    out = bounds(before + left, value, u)
+    out[:branch] = -np.inf
+    return out
 
 
 def _node(lat: Lattices, edge: int) -> int:
@@ -313,7 +390,7 @@ def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = pieces(model, alpha)
         lattices, spelling = Lattices(vocab), Spelling(vocab)
-        for b in slices(batches, "t", 2 << 20):
+        for b in slices(batches, "t", 512 << 10):
             texts = [t or "" for t in b.column("t").to_pylist()]
             rows = []
             for text, (paths, kappa) in zip(texts, sample(texts, b.column("key").to_pylist(), lattices, k), strict=True):
