@@ -75,9 +75,17 @@ JOINT = ["joint_chromhmm", "joint_ref_15", "joint"]
 METRICS = ["jaccard", "kappa", "cosine", "ami"]
 
 
-def normalize_method(name: Column) -> Column:
+def _plain(name: Column, aliases: dict[str, str] | None) -> Column:
+    """A name in lower case with longer spellings of a caller (aliases: spelling to caller) made short."""
+    low = F.replace(F.lower(F.trim(name)), F.lit(" "), F.lit("_"))
+    for spelling, caller in (aliases or {}).items():
+        low = F.replace(low, F.lit(spelling.lower()), F.lit(caller))
+    return low
+
+
+def normalize_method(name: Column, aliases: dict[str, str] | None = None) -> Column:
     """Key of a method from any of its names, null if it is unknown."""
-    low = F.replace(F.replace(F.lower(F.trim(name)), F.lit(" "), F.lit("_")), F.lit("omnipeak"), F.lit("omni"))
+    low = _plain(name, aliases)
     joint = low.startswith("joint_")
     core = F.regexp_replace(low, "^joint_", "")
     core = F.when(core.startswith("kmeans_"), F.substring(core, 8, 1000)).otherwise(F.regexp_replace(core, "_kmeans$", ""))
@@ -90,9 +98,9 @@ def normalize_metric(name: Column) -> Column:
     return F.when(low.isin(METRICS), low)
 
 
-def caller_of(method: Column) -> Column:
+def caller_of(method: Column, aliases: dict[str, str] | None = None) -> Column:
     """Caller of a method key: one of the peak callers, else that of the default model."""
-    got = F.regexp_extract(F.replace(method, F.lit("omnipeak"), F.lit("omni")), r"(?:^|_)(homer|macs2|omni)(?:_|$)", 1)
+    got = F.regexp_extract(_plain(method, aliases), r"(?:^|_)(homer|macs2|omni)(?:_|$)", 1)
     return F.when(got == "", "chromhmm").otherwise(got)
 
 

@@ -236,9 +236,9 @@ def test_names(spark):
 
 
 def test_methods_and_labels(spark):
-    m = spark.createDataFrame([("Omnipeak",), ("kmeans_macs2",), ("Joint Homer",), ("ref_15",), ("joint",), ("odd",)], "s string")
-    assert {r.s: r.k for r in m.select("s", N.normalize_method(F.col("s")).alias("k")).collect()} == {
-        "Omnipeak": "kmeans_omni", "kmeans_macs2": "kmeans_macs2", "Joint Homer": "joint_kmeans_homer", "ref_15": "chromhmm_default", "joint": "joint_chromhmm", "odd": None,
+    m = spark.createDataFrame([("Omnicaller",), ("kmeans_macs2",), ("Joint Homer",), ("ref_15",), ("joint",), ("odd",)], "s string")
+    assert {r.s: r.k for r in m.select("s", N.normalize_method(F.col("s"), {"omnicaller": "omni"}).alias("k")).collect()} == {
+        "Omnicaller": "kmeans_omni", "kmeans_macs2": "kmeans_macs2", "Joint Homer": "joint_kmeans_homer", "ref_15": "chromhmm_default", "joint": "joint_chromhmm", "odd": None,
     }
     paths = {
         "d/omni/rep1/kmeans_states_15.bed": "kmeans_omni_rep1", "d/joint_kmeans/macs2/replicate2_15_dense.bed": "joint_kmeans_macs2_rep2", "x/ENCFF123ABC.bed": "ENCFF123ABC",
