@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
+_MADE: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +34,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.dir = f"{shared_dir(spark)}/segloom/{name}-{uuid.uuid4().hex[:12]}"
+        _MADE.append(self.dir)
         self._paths: dict[int, str] = {}
         self._n = 0
 
@@ -53,6 +55,22 @@ class Scratch:
             remove(self.spark, path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all that this process has written and that results not yet read may still need: call it when they are done."""
+    while _MADE:
+        remove(spark, _MADE.pop())
+
+
+def _forget() -> None:
+    """At exit, what lies on this machine goes; a shared store is cleared by ``clear`` or its own rules."""
+    for path in _MADE:
+        if path.startswith(("/", "file:")):
+            shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
+atexit.register(_forget)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
