@@ -11,8 +11,8 @@ from .scratch import Scratch
 def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """edges (a long, b long) -> (node, root): the smallest node reachable from each node that an edge names.
 
-    Every step replaces edges by as many or fewer, so nothing grows with the square of a group; a hub meets its
-    neighbours in joins, not in one task. The number of steps grows with the logarithm of the longest path."""
+    Every step replaces edges by as many or fewer, so nothing grows with the square of a group; rows are pairs of longs, and a hub's
+    smallest neighbour is found by a partial aggregation. The number of steps grows with the logarithm of the longest path."""
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = scratch.write(pairs)
     mark = _mark(now)

@@ -6,8 +6,8 @@ digest takes part in the decision. The byte length is the first digit: it tells
 end together. Digits widen eightfold by round, so that a text of n bytes takes O(log n) rounds and each of its bytes is
 moved once.
 
-A group of any size is split by a partial aggregation and a join of its rows with one row per subgroup, whose hot keys
-adaptive execution splits; its rows never have to meet in one task.
+A group of any size is split by a partial aggregation, whose result is written, and a join of its rows with one row per subgroup,
+whose hot keys adaptive execution splits; its rows never have to meet in one task.
 
 Null texts count as empty; a null id is smaller than any other. Of rows that repeat an id and a text, one stays. Extra columns
 are ignored. An empty table gives an empty result.
@@ -37,8 +37,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     while True:
         keys = ["gid", "n", "digit"]
         cut = rows.withColumn("digit", F.substring("rest", 1, width))
-        groups = cut.groupBy(*keys).agg(
-            F.min("rid").alias("new_gid"), F.max(F.struct("doc_id", "rid")).alias("top"), F.count("*").alias("group_size")
+        # written, so that only an exchange stands between the rows and the join: then adaptive execution can split a hot key
+        groups = scratch.write(
+            cut.groupBy(*keys).agg(F.min("rid").alias("new_gid"), F.max(F.struct("doc_id", "rid")).alias("top"), F.count("*").alias("group_size"))
         )
         split = cut.join(groups, keys)
         ended = (F.col("group_size") == 1) | (F.col("n") <= F.octet_length("digit"))
@@ -51,6 +52,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 F.when(~ended, F.expr(f"substring(rest, {width + 1})")).alias("rest"),
             )
         )
+        scratch.drop(groups)
         done.append(out.where("ended").select("doc_id", "text_sha256", "keep_id", "group_size", "kept"))
         rows = out.where("not ended").select("doc_id", "rid", "n", "rest", "gid", "text_sha256")
         if rows.isEmpty():

@@ -135,7 +135,7 @@ class Reader:
         return head, payload
 
 
-def typed(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int) -> DataFrame:
+def typed(pages: DataFrame, scratch: Scratch, id_col: str, url_col: str, html_col: str, least: int) -> DataFrame:
     """Rows with their payload, digest and the page they revisit, if any."""
     body = utf8(html_col)
     rows = pages.select(
@@ -143,7 +143,8 @@ def typed(pages: DataFrame, id_col: str, url_col: str, html_col: str, least: int
         F.octet_length(body).alias("n"), F.monotonically_increasing_id().alias("rid"),
     )
     order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.col("rid").alias("rid"))
-    first = rows.groupBy("sha1", "n").agg(F.min(order).alias("first"))
+    # written, so that only an exchange stands between the rows and the join: then adaptive execution can split a hot payload
+    first = scratch.write(rows.groupBy("sha1", "n").agg(F.min(order).alias("first")))
     again = (F.col("rid") != F.col("first.rid")) & (F.col("n") >= least)
     return rows.join(first, ["sha1", "n"]).select(
         "page_id", "rid", "url", "body", "sha1", F.when(again, F.col("first.id")).alias("first_id"), F.when(again, F.col("first.rid")).alias("first_rid")
@@ -184,7 +185,7 @@ def write(pages: DataFrame, uri: str, scratch: Scratch, id_col: str = "page_id",
         if ids:
             yield close()
 
-    rows = typed(pages, id_col, url_col, html_col, least)
+    rows = typed(pages, scratch, id_col, url_col, html_col, least)
     return scratch.write(rows.mapInArrow(run, "page_id long, record_id string, bundle string, frame long, place long, length long"))
 
 
