@@ -17,6 +17,9 @@ Only distinct fingerprints enter the trees, so equal texts cost nothing there.
 Null, empty and wordless texts have fingerprint zero and link like any other. A null id counts for no component; a group
 with null ids only has a null component_id. Repeated rows each get their row. Extra columns are ignored; an empty table
 gives an empty result.
+
+The pipeline's stage (``keep_first``) asks for a similarity of the shingle sets instead, at which 64-bit fingerprints differ in too many
+bits for a search by distance: see ``similar_groups``.
 """
 
 from __future__ import annotations
@@ -42,6 +45,9 @@ SHARD = 4096
 BLOCK = 256
 FULL = 0xFFFFFFFFFFFFFFFF
 _STEP = 1 << 17
+#: Bands of min-hashes that candidates of the pipeline's stage share one of, and min-hashes in a band.
+BANDS, ROWS = 28, 6
+_FACTORS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def simhash(text: bytes, width: int = 3) -> int:
@@ -211,9 +217,111 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 3) -> DataFrame:
-    """The document with the smallest id of each group, with all its columns. Rows of one id count as one document; a
-    row with a null id cannot be told from others of its kind and stays."""
-    found = near_groups(docs, id_col, text_col, width, radius)
+# --- documents by the similarity of their shingles -----------------------------------------------------------------------
+
+
+def shingles(text: bytes, width: int = 5) -> np.ndarray:
+    """XXH64 of the distinct word shingles; a text of fewer words is one shingle."""
+    words = text.lower().split()
+    if len(words) <= width:
+        return np.array([xxh64_intdigest(b" ".join(words), 42)], np.uint64)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False))
+    return np.unique(np.fromiter(map(xxh64_intdigest, grams, repeat(42)), np.uint64, len(words) - width + 1))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each of ``BANDS`` bands of ``ROWS`` min-hashes, as signed longs."""
+    low = np.full(len(_FACTORS), FULL, np.uint64)
+    for at in range(0, len(hashes), 1024):
+        np.minimum(low, (hashes[at : at + 1024, None] * _FACTORS).min(0), out=low)
+    each = low.reshape(BANDS, ROWS)
+    return np.array([xxh64_intdigest(each[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64).tolist()
+
+
+def link_sets(sets: list[np.ndarray], similarity: float, groups: Groups) -> None:
+    """Unite the sets that a chain of pairs of at least ``similarity`` (Jaccard) connects. 1 - similarity is a metric: sets
+    close to a vantage point have no pair with those over twice the distance from it."""
+    size = np.array([len(x) for x in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(size) - size
+    holder = np.repeat(np.arange(len(sets)), size)[np.argsort(flat, kind="stable")]
+    many = np.bincount(flat)
+    first = np.cumsum(many) - many
+
+    def like(k: int) -> np.ndarray:
+        own = flat[start[k] : start[k] + size[k]]
+        n = many[own]
+        at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        both = np.bincount(holder[at], minlength=len(sets))
+        return both / (size + size[k] - both)
+
+    block = np.arange(len(sets))
+    while len(block) > 1 and (groups.find(block) != groups.find(block[:1])).any():
+        p, rest = block[:1], block[1:]
+        s = like(int(p[0]))[rest]
+        near = s >= similarity
+        groups.union(rest[near], np.repeat(p, int(near.sum())))
+        between = rest[~near & (s >= 2 * similarity - 1 - 1e-9)]
+        for x in rest[near]:
+            between = between[groups.find(between) != groups.find(p)]
+            if not len(between):
+                break
+            close = between[like(int(x))[between] >= similarity]
+            groups.union(close, np.full(len(close), x))
+        block = rest[~near]
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """rid, doc_id, component_id of the rows that a chain of pairs of at least ``similarity`` links to others; rows of one id
+    are linked. component_id is the smallest id of the chain.
+
+    Candidates share a band of min-hashes, which a pair of similarity s does with probability 1 - (1 - s^ROWS)^BANDS: 0.9998 at
+    0.8, more above. The texts of each component of candidates are then compared by all their shingles."""
+    scratch = Scratch(docs.sparkSession, "similar")
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "t"):
+            keys = [band_keys(shingles(t, width)) for t in b.column("t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), b.column("t"), pa.array(keys, pa.list_(pa.int64()))], ["rid", "doc_id", "t", "keys"])
+
+    ids = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("t"))
+    rows = scratch.write(ids.mapInArrow(sketch, "rid long, doc_id long, t binary, keys array<long>"))
+    star = lambda x, key: x.groupBy(key).agg(F.min("rid").alias("b"), F.count("*").alias("n")).where("n > 1").select(key, "b")
+    named = rows.where("doc_id is not null").select("rid", "doc_id")
+    same = named.join(star(named, "doc_id"), "doc_id").select(F.col("rid").alias("a"), "b")
+    banded = rows.select("rid", F.explode("keys").alias("key"))
+    maybe = scratch.write(components(banded.join(star(banded, "key"), "key").select(F.col("rid").alias("a"), "b"), scratch))
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, rids, sets = None, [], []
+
+        def linked() -> Iterator[pa.RecordBatch]:
+            if len(rids) > 1:
+                groups = Groups(len(rids))
+                link_sets(sets, similarity, groups)
+                at, to = np.array(rids, np.int64), groups.find(np.arange(len(rids)))
+                part = to != np.arange(len(rids))
+                yield pa.RecordBatch.from_arrays([pa.array(at[part]), pa.array(at[to[part]])], ["a", "b"])
+
+        for b in slices(batches, "t"):
+            for r, rid, t in zip(b.column("root").to_pylist(), b.column("rid").to_pylist(), b.column("t").to_pylist(), strict=True):
+                if r != root:
+                    yield from linked()
+                    root, rids, sets = r, [], []
+                rids.append(rid)
+                sets.append(shingles(t, width))
+        yield from linked()
+
+    texts = rows.select("rid", "t").join(maybe, F.col("rid") == F.col("node")).select("root", "rid", "t")
+    links = texts.repartition("root").sortWithinPartitions("root").mapInArrow(meet, "a long, b long")
+    roots = components(links.unionByName(same), scratch)
+    found = rows.select("rid", "doc_id").join(roots, F.col("rid") == F.col("node")).select("rid", "doc_id", "root")
+    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("rid", "doc_id", "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The document with the smallest id of each group of ``similar_groups``, with all its columns. Rows of one id count as one
+    document; a row with a null id cannot be told from others of its kind and stays."""
+    found = similar_groups(docs, id_col, text_col, width, similarity)
     gone = found.where(F.col("component_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")

@@ -126,6 +126,39 @@ def test_simhash_edges(odd, none):
     assert near_dedup.keep_first(none).count() == 0
 
 
+def jaccard_pairs(texts):
+    sets = {}
+    for i, t in texts.items():
+        w = (t or "").encode().lower().split()
+        sets[i] = {b" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+    return [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+
+
+def test_near_stage_against_brute_force_similarity(spark, texts):
+    import corpus_pipeline as cp
+
+    rng = np.random.default_rng(3)
+    own = {}
+    for i in range(60):  # chains of copies that differ more and more, and short texts
+        base = [f"w{x}" for x in rng.integers(0, 10**6, rng.integers(30, 300))]
+        for j in range(5):
+            own[1000 + 5 * i + j] = " ".join(base)
+            for k in rng.integers(0, len(base), 1 + i % 4):
+                base[k] = f"v{rng.integers(0, 10**6)}"
+    own |= {2000: "one two", 2001: "One  TWO", 2002: "", 2003: " ", 2004: None, 2005: "a b c d e f"}
+    every = texts | own
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in every.items()], DOC)
+    pairs = jaccard_pairs(every)
+    assert len(pairs) > 100
+    assert {r.doc_id for r in cp.STAGES[2][1](spark, df, SF).collect()} == set(union_find(pairs, every).values())
+
+
+def test_near_stage_edges(odd, none):
+    rows = near_dedup.keep_first(odd).collect()
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 3, 3, 4, 7] and sum(r.doc_id is None for r in rows) == 2
+    assert near_dedup.keep_first(none).count() == 0
+
+
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1200)] + [(5000, 5000)]
     df = spark.createDataFrame(edges, "a long, b long")
