@@ -439,6 +439,13 @@ def test_segmentation_round_trip(spark, docs, texts):
     assert digests(rows) == digests(again) and all(s.ids is None for r in again for s in r.samples)
 
 
+def test_every_sample_carries_its_ids(spark, docs):
+    import corpus_pipeline as cp
+
+    for out in (queries.op3_sentencepiece(spark, SF), cp.STAGES[-1][1](spark, docs, SF)):
+        assert all(s.ids is not None and len(s.ids) == s.n_ids for r in out.collect() for s in r.samples)
+
+
 def test_segmentation_edges(odd, none):
     rows = segmentation.segment(odd).collect()
     assert len(rows) == 10 and all(r.decoded for r in rows) and segmentation.segment(none).count() == 0
