@@ -37,7 +37,7 @@ def label_bins(coded: DataFrame, labels: DataFrame) -> DataFrame:
     return coded.join(labels.select("code", "label"), "code").withColumn("state", F.concat(F.lit("E"), (F.col("label") + 1).cast("string"))).drop("label", "code")
 
 
-def quality_sweep(patterns: DataFrame, n_marks: int, ks: list[int], restarts: int = 3, seed: int = SEED) -> list[dict]:
+def quality_sweep(patterns: DataFrame, n_marks: int, ks: list[int], restarts: int = RESTARTS, seed: int = SEED) -> list[dict]:
     """Per k: inertia over the total sum of squares, silhouette (squared Euclidean), entropy of the labels in bits, states in use. Stops
     at the first k above the number of patterns."""
     vec = patterns.select("code", "n", array_to_vector(F.transform(bits_of(F.col("code"), n_marks), lambda x: x.cast("double"))).alias("features"))

@@ -489,14 +489,14 @@ def emission_match(spark, sf):
 
 @query()
 def kmeans_states(spark, sf):
-    return C.kmeans_patterns(B.patterns(_codes(spark, sf)).select("code", "n"), 6, 5, restarts=3)
+    return C.kmeans_patterns(B.patterns(_codes(spark, sf)).select("code", "n"), 6, 5)
 
 
 @query()
 def joint_kmeans(spark, sf):
     cells = V.peaks(spark, sf).withColumn("cell", F.when(F.expr("start div 100 % 2 = 0"), "c0").otherwise("c1"))
     coded = B.codes(B.joint_bits(cells, _sizes(spark, sf), 100), MARKS, by=["cell"])
-    labels = C.kmeans_patterns(B.patterns(coded).select("code", "n"), 6, 4, restarts=2)
+    labels = C.kmeans_patterns(B.patterns(coded).select("code", "n"), 6, 4)
     return I.runs(C.label_bins(coded, labels), 100, by=["cell"]).groupBy("cell", "state").agg(F.count("*").alias("n_segments"), F.sum(F.col("end") - F.col("start")).alias("bp"))
 
 
@@ -850,7 +850,7 @@ def pooled_sensitivity(spark, sf):
 
 @query()
 def kmeans_quality(spark, sf):
-    rows = C.quality_sweep(B.patterns(_codes(spark, sf)).select("code", "n"), 6, [2, 3, 4], restarts=1)
+    rows = C.quality_sweep(B.patterns(_codes(spark, sf)).select("code", "n"), 6, [2, 3, 4])
     return spark.createDataFrame([tuple(r.values()) for r in rows], "k int, inertia double, silhouette double, entropy double, states int")
 
 

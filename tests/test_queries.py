@@ -33,3 +33,18 @@ def test_query(spark, db, name):
         assert sorted(rel.columns) == cols
         at = [rel.columns.index(c) for c in cols]
         assert got == sorted(tuple(text(r[i]) for i in at) for r in rel.fetchall())
+
+
+@pytest.mark.parametrize("name", ["kmeans_states", "joint_kmeans", "kmeans_quality"])
+def test_kmeans_queries_run_all_restarts(spark, monkeypatch, name):
+    seeds = []
+
+    class Seen(Q.C.KMeans):
+        def __init__(self, **options):
+            seeds.append((options["k"], options["seed"]))
+            super().__init__(**options)
+
+    monkeypatch.setattr(Q.C, "KMeans", Seen)
+    Q.queries()[name](spark, "/root/testdata/sf0.001").count()
+    ks = {k for k, _ in seeds}
+    assert ks and all(len({s for j, s in seeds if j == k}) == 10 for k in ks)
