@@ -7,24 +7,32 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+#: Edges from which the least neighbours are written before they are joined: then only exchanges stand before the join, and adaptive
+#: execution can split the rows of a hub. Fewer edges fit a task whatever their hubs are.
+SPLIT = 1 << 20
 
-def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 60, split: int = SPLIT) -> DataFrame:
     """edges (a long, b long) -> (node, root): the smallest node reachable from each node that an edge names.
 
     Every step replaces edges by as many or fewer, so nothing grows with the square of a group; rows are pairs of longs, and a hub's
-    smallest neighbour is found by a partial aggregation. The number of steps grows with the logarithm of the longest path."""
+    smallest neighbour is found by a partial aggregation, its rows being split over tasks (see ``SPLIT``). The number of steps grows with
+    the logarithm of the longest path."""
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     now = scratch.write(pairs)
     mark = _mark(now)
     for _ in range(rounds):
         both = now.select(F.col("u").alias("x"), F.col("v").alias("y")).unionByName(now.select(F.col("v").alias("x"), F.col("u").alias("y")))
-        low = both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m"))
+        apart = scratch.write if mark[0] > split else lambda df: df
+        low = apart(both.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("m")))
         large = both.join(low, "x").where("y > x").select(F.col("y").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        large = apart(large)
+        least = apart(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         after = scratch.write(small.where("u <> v").distinct())
         mark_after = _mark(after)
-        scratch.drop(now)
+        for old in (now, low, large, least):
+            scratch.drop(old)
         now = after
         if mark_after == mark:
             break

@@ -5,7 +5,8 @@ and such links are found exactly:
 
 - Of two fingerprints that differ in at most 3 bits, one half differs in at most 1. So one tree is built for each half, whose
   metric is the Hamming distance of that half and whose search radius is 1; a pair is missed by no tree that holds its closer half.
-- A tree's vantage points and median radii come from a bounded sample (``SAMPLE`` fingerprints). Each fingerprint is stored
+- A tree's vantage points and median radii come from a bounded sample (``SAMPLE`` fingerprints at most, so that shards hold about ``SHARD``
+  fingerprints up to 10^9 of them and 80,000 at 2 * 10^10). Each fingerprint is stored
   in one shard and is also sent as a query to the shards that its ball overlaps, by the triangle bound.
 - In a shard the same splitting goes on, at first with the half's metric and, where that cannot split, with the whole
   fingerprint's, until blocks are small enough to compare. A shard returns a star per group that it finds, so output is
@@ -14,9 +15,10 @@ and such links are found exactly:
 
 Only distinct fingerprints enter the trees, so equal texts cost nothing there.
 
-Null, empty and wordless texts have fingerprint zero and link like any other. A null id counts for no component; a group
-with null ids only has a null component_id. Repeated rows each get their row. Extra columns are ignored; an empty table
-gives an empty result.
+Null, empty and wordless texts have fingerprint zero and link like any other; very long texts are read whole, their shingles in steps of
+``_STEP`` words. A null id counts for no component; a group with null ids only has a null component_id. Repeated rows and equal
+fingerprints each get their row, with the component they share. Extra columns are ignored or, by ``keep_first``, passed on, whatever their
+names; an empty table gives an empty result.
 
 The pipeline's stage (``keep_first``) asks for a similarity of the shingle sets instead, at which 64-bit fingerprints differ in too many
 bits for a search by distance: see ``similar_groups``.
@@ -25,6 +27,7 @@ bits for a search by distance: see ``similar_groups``.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -35,10 +38,10 @@ from xxhash import xxh64_intdigest
 
 from .components import components
 from .scratch import Scratch
-from .text import slices, utf8
+from .text import numbered, quoted, slices, utf8
 
-#: Fingerprints that the shards' vantage points are chosen from, at most.
-SAMPLE = 1 << 16
+#: Fingerprints that the shards' vantage points are chosen from: one of ``SPARSE``, but this many at least and at most.
+LEAST, SAMPLE, SPARSE = 1 << 16, 1 << 20, 1 << 10
 #: Fingerprints that a shard should hold.
 SHARD = 4096
 #: Fingerprints that are compared block by block.
@@ -47,6 +50,9 @@ FULL = 0xFFFFFFFFFFFFFFFF
 _STEP = 1 << 17
 #: Bands of min-hashes that candidates of the pipeline's stage share one of, and min-hashes in a band.
 BANDS, ROWS = 28, 6
+#: Bytes of candidate texts that are compared in one task.
+LIMIT = 8 << 20
+SLACK = 1e-9
 _FACTORS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -184,7 +190,8 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     prints = scratch.write(fingerprints(docs, id_col, text_col, width))
     nodes = scratch.write(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
     count = nodes.count()
-    chosen = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE) if count > SAMPLE else nodes.select("fp")
+    most = min(max(LEAST, count // SPARSE), SAMPLE)
+    chosen = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(most) if count > most else nodes.select("fp")
     sample = np.sort(np.array([r.fp for r in chosen.collect()], np.int64).view(np.uint64))
     np.random.default_rng(7).shuffle(sample)
     trees = [(m, grow(sample, m, max(4, SHARD * len(sample) // max(count, 1)))) for m in halves(radius)]
@@ -238,90 +245,234 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array([xxh64_intdigest(each[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64).tolist()
 
 
+class Index:
+    """Sets of hashes, with the sets that hold each hash."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(x) for x in sets])
+        self.values, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.holder = np.repeat(np.arange(len(sets)), self.size)[np.argsort(flat, kind="stable")]
+        self.many = np.bincount(flat)
+        self.first = np.cumsum(self.many) - self.many
+
+    def like(self, own: np.ndarray) -> np.ndarray:
+        """Jaccard similarity of a set to each of these."""
+        at = np.minimum(np.searchsorted(self.values, own), len(self.values) - 1)
+        at = at[self.values[at] == own]
+        n = self.many[at]
+        where = np.repeat(self.first[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        both = np.bincount(self.holder[where], minlength=len(self.size))
+        return both / (self.size + len(own) - both)
+
+
 def link_sets(sets: list[np.ndarray], similarity: float, groups: Groups) -> None:
     """Unite the sets that a chain of pairs of at least ``similarity`` (Jaccard) connects. 1 - similarity is a metric: sets
     close to a vantage point have no pair with those over twice the distance from it."""
-    size = np.array([len(x) for x in sets])
-    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    start = np.cumsum(size) - size
-    holder = np.repeat(np.arange(len(sets)), size)[np.argsort(flat, kind="stable")]
-    many = np.bincount(flat)
-    first = np.cumsum(many) - many
-
-    def like(k: int) -> np.ndarray:
-        own = flat[start[k] : start[k] + size[k]]
-        n = many[own]
-        at = np.repeat(first[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        both = np.bincount(holder[at], minlength=len(sets))
-        return both / (size + size[k] - both)
-
+    index = Index(sets)
     block = np.arange(len(sets))
     while len(block) > 1 and (groups.find(block) != groups.find(block[:1])).any():
         p, rest = block[:1], block[1:]
-        s = like(int(p[0]))[rest]
+        s = index.like(sets[p[0]])[rest]
         near = s >= similarity
         groups.union(rest[near], np.repeat(p, int(near.sum())))
-        between = rest[~near & (s >= 2 * similarity - 1 - 1e-9)]
+        between = rest[~near & (s >= 2 * similarity - 1 - SLACK)]
         for x in rest[near]:
             between = between[groups.find(between) != groups.find(p)]
             if not len(between):
                 break
-            close = between[like(int(x))[between] >= similarity]
+            close = between[index.like(sets[x])[between] >= similarity]
             groups.union(close, np.full(len(close), x))
         block = rest[~near]
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """rid, doc_id, component_id of the rows that a chain of pairs of at least ``similarity`` links to others; rows of one id
-    are linked. component_id is the smallest id of the chain.
-
-    Candidates share a band of min-hashes, which a pair of similarity s does with probability 1 - (1 - s^ROWS)^BANDS: 0.9998 at
-    0.8, more above. The texts of each component of candidates are then compared by all their shingles."""
-    scratch = Scratch(docs.sparkSession, "similar")
+def links_in(rids: list[int], texts: list[bytes], width: int, similarity: float) -> pa.RecordBatch:
+    """a, b: a star for each group that links some of the texts."""
+    groups, every = Groups(len(rids)), np.arange(len(rids))
+    link_sets([shingles(t, width) for t in texts], similarity, groups)
+    at, root = np.array(rids, np.int64), groups.find(every)
+    part = root != every
+    return pa.RecordBatch.from_arrays([pa.array(at[part]), pa.array(at[root[part]])], ["a", "b"])
+
+
+def links_across(rids: list[int], texts: list[bytes], sides: list[int], width: int, similarity: float) -> pa.RecordBatch:
+    """a, b: the text of side 0 that each text of side 1 is most similar to, if it links. Side 0 is a part of what one vantage point is near
+    to, so one link to it is as good as all."""
+    side, sets = np.array(sides), [shingles(t, width) for t in texts]
+    own, asks = np.nonzero(side == 0)[0], np.nonzero(side == 1)[0]
+    found: list[tuple[int, int]] = []
+    if len(own) and len(asks):
+        index = Index([sets[i] for i in own])
+        for i in asks:
+            s = index.like(sets[i])
+            if s.max() >= similarity:
+                found.append((rids[i], rids[own[int(s.argmax())]]))
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+
+def by_group(batches: Iterator[pa.RecordBatch], keys: list[str], columns: list[str]) -> Iterator[tuple[list, ...]]:
+    """The columns of each run of rows that agree in ``keys``."""
+    held, now = None, None
+    for b in slices(batches, "t"):
+        for key, *values in zip(zip(*(b.column(k).to_pylist() for k in keys), strict=True), *(b.column(c).to_pylist() for c in columns), strict=True):
+            if key != now:
+                if held:
+                    yield held
+                held, now = tuple([] for _ in columns), key
+            for column, v in zip(held, values, strict=True):
+                column.append(v)
+    if held:
+        yield held
+
+
+class Similar:
+    """Links between the texts of candidate groups, rows being rid, doc_id, t, written.
+
+    Groups of up to ``limit`` bytes are compared in one task each. A larger one is split by vantage points, one a round: what is within the
+    similarity of it is one component and leaves; what is between it and twice the distance is compared with that, slice by slice;
+    what is left, the texts between included, goes on as the groups that its bands still hold together. What ``rounds`` rounds leave larger than
+    ``limit`` is compared block by block, so no pair is lost and no task holds more than two slices."""
+
+    def __init__(self, rows: DataFrame, keys: DataFrame, scratch: Scratch, width: int, similarity: float, limit: int, rounds: int):
+        self.rows, self.keys, self.scratch, self.width, self.similarity, self.limit, self.rounds = rows, keys, scratch, width, similarity, limit, rounds
+        self.texts = rows.select("rid", "t")
+
+    def candidates(self, keys: DataFrame) -> DataFrame:
+        """rid, root, written: rows that a chain of shared bands holds together, of keys (rid, keys)."""
+        banded = keys.select("rid", F.explode("keys").alias("key"))
+        found = components(banded.join(_star(banded, "key"), "key").select(F.col("rid").alias("a"), "b"), self.scratch)
+        return self.scratch.write(found.select(F.col("node").alias("rid"), "root"))
+
+    def sizes(self, groups: DataFrame) -> DataFrame:
+        """root, n_slices, written, of the groups that are larger than the limit."""
+        weights = self.keys.select("rid", "n").join(groups, "rid").groupBy("root").agg(F.sum("n").alias("n"))
+        return self.scratch.write(weights.where(F.col("n") > self.limit).select("root", F.ceil(F.col("n") / self.limit).alias("n_slices")))
+
+    def small(self, groups: DataFrame, large: DataFrame) -> DataFrame:
+        """Links of the groups that are not large."""
+        width, similarity = self.width, self.similarity
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rids, texts in by_group(batches, ["root"], ["rid", "t"]):
+                if len(rids) > 1:
+                    yield links_in(rids, texts, width, similarity)
+
+        rows = self.texts.join(groups.join(large, "root", "left_anti"), "rid").select("root", "rid", "t")
+        return rows.repartition("root").sortWithinPartitions("root").mapInArrow(meet, "a long, b long")
+
+    def distances(self, groups: DataFrame) -> DataFrame:
+        """root, rid, pivot, s, written: similarity of every row of a group to the group's vantage point, the first row of its largest band."""
+        width = self.width
+        banded = self.keys.select("rid", F.explode("keys").alias("key")).join(groups, "rid")
+        bands = banded.groupBy("root", "key").agg(F.count("*").alias("n"), F.min("rid").alias("rid"))
+        pivots = bands.groupBy("root").agg(F.max_by("rid", F.struct("n", F.col("rid"))).alias("pivot"))
+        points = self.scratch.write(pivots.join(self.texts.toDF("pivot", "p"), "pivot"))
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known: tuple[int | None, Index | None] = None, None
+            for b in slices(batches, "t"):
+                out = []
+                for pivot, p, t in zip(b.column("pivot").to_pylist(), b.column("p"), b.column("t").to_pylist(), strict=True):
+                    if known[0] != pivot:
+                        known = pivot, Index([shingles(p.as_py(), width)])
+                    out.append(float(known[1].like(shingles(t, width))[0]))
+                yield pa.RecordBatch.from_arrays([b.column("root"), b.column("rid"), b.column("pivot"), pa.array(out)], ["root", "rid", "pivot", "s"])
+
+        rows = self.texts.join(groups, "rid").join(points, "root").select("root", "rid", "pivot", "p", "t")
+        return self.scratch.write(rows.mapInArrow(compare, "root long, rid long, pivot long, s double"))
+
+    def across(self, near: DataFrame, asks: DataFrame, slices_of: DataFrame) -> DataFrame:
+        """Links between rows (root, rid) of two sides: each slice of one meets each slice of the other."""
+        width, similarity, one = self.width, self.similarity, F.xxhash64("rid")
+        every = F.sequence(F.lit(0).cast("long"), F.col("n_slices") - 1)
+        cut = lambda rows: rows.join(slices_of, "root").withColumn("own", F.pmod(one, F.col("n_slices")))
+        # asking rows come in slices of their own number, which mostly is one
+        weights = asks.join(self.keys.select("rid", "n"), "rid").groupBy("root").agg(F.ceil(F.sum("n") / self.limit).alias("n_asks"))
+        left = cut(near).join(weights, "root").select("root", "rid", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_asks") - 1)).alias("other"), F.lit(0).alias("side"))
+        right = cut(asks).join(weights, "root").select("root", "rid", F.explode(every).alias("own"), F.pmod(one, F.col("n_asks")).alias("other"), F.lit(1).alias("side"))
+        rows = left.unionByName(right).join(self.texts, "rid")
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rids, texts, sides in by_group(batches, ["root", "own", "other"], ["rid", "t", "side"]):
+                yield links_across(rids, texts, sides, width, similarity)
+
+        return rows.repartition("root", "own", "other").sortWithinPartitions("root", "own", "other").mapInArrow(meet, "a long, b long")
+
+    def blocks(self, groups: DataFrame, slices_of: DataFrame) -> DataFrame:
+        """All links of groups (root, rid): every two slices meet, a slice also by itself."""
+        width, similarity = self.width, self.similarity
+        own = groups.join(slices_of, "root").withColumn("k", F.pmod(F.xxhash64("rid"), F.col("n_slices")))
+        meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n_slices") - 1), lambda j: F.struct(F.least(j, "k").alias("own"), F.greatest(j, "k").alias("other")))
+        rows = own.select("root", "rid", F.explode(meets).alias("m")).select("root", "rid", "m.own", "m.other").join(self.texts, "rid")
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rids, texts in by_group(batches, ["root", "own", "other"], ["rid", "t"]):
+                if len(rids) > 1:
+                    yield links_in(rids, texts, width, similarity)
+
+        return rows.repartition("root", "own", "other").sortWithinPartitions("root", "own", "other").mapInArrow(meet, "a long, b long")
+
+    def links(self) -> DataFrame:
+        groups = self.candidates(self.keys)
+        large = self.sizes(groups)
+        found = [self.small(groups, large)]
+        for _ in range(self.rounds):
+            if large.isEmpty():
+                return _union(found)
+            hot = groups.join(large, "root", "left_semi")
+            far = self.distances(hot)
+            is_near, between = F.col("s") >= self.similarity, (F.col("s") < self.similarity) & (F.col("s") >= 2 * self.similarity - 1 - SLACK)
+            found.append(far.where(is_near & (F.col("rid") != F.col("pivot"))).select(F.col("rid").alias("a"), F.col("pivot").alias("b")))
+            found.append(self.across(far.where(is_near).select("root", "rid"), far.where(between).select("root", "rid"), large))
+            left = far.where(~is_near & (F.col("rid") != F.col("pivot"))).select("rid")
+            groups = self.candidates(self.keys.join(left, "rid", "left_semi"))
+            large = self.sizes(groups)
+            found.append(self.small(groups, large))
+        found.append(self.blocks(groups.join(large, "root", "left_semi"), large))
+        return _union(found)
+
+
+def _star(rows: DataFrame, key: str) -> DataFrame:
+    """key, b: the first row of each key that several rows share."""
+    return rows.groupBy(key).agg(F.min("rid").alias("b"), F.count("*").alias("n")).where("n > 1").select(key, "b")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _similar(rows: DataFrame, scratch: Scratch, width: int, similarity: float, limit: int, rounds: int) -> DataFrame:
+    """rows: rid, doc_id, t, written -> rid, doc_id, component_id of those that have links."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
-            keys = [band_keys(shingles(t, width)) for t in b.column("t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("rid"), b.column("doc_id"), b.column("t"), pa.array(keys, pa.list_(pa.int64()))], ["rid", "doc_id", "t", "keys"])
+            texts = b.column("t").to_pylist()
+            keys = pa.array([band_keys(shingles(t, width)) for t in texts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array([len(t) for t in texts], pa.int64()), keys], ["rid", "n", "keys"])
 
-    ids = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("t"))
-    rows = scratch.write(ids.mapInArrow(sketch, "rid long, doc_id long, t binary, keys array<long>"))
-    star = lambda x, key: x.groupBy(key).agg(F.min("rid").alias("b"), F.count("*").alias("n")).where("n > 1").select(key, "b")
+    keys = scratch.write(rows.select("rid", "t").mapInArrow(sketch, "rid long, n long, keys array<long>"))
     named = rows.where("doc_id is not null").select("rid", "doc_id")
-    same = named.join(star(named, "doc_id"), "doc_id").select(F.col("rid").alias("a"), "b")
-    banded = rows.select("rid", F.explode("keys").alias("key"))
-    maybe = scratch.write(components(banded.join(star(banded, "key"), "key").select(F.col("rid").alias("a"), "b"), scratch))
+    same = named.join(_star(named, "doc_id"), "doc_id").select(F.col("rid").alias("a"), "b")
+    roots = components(Similar(rows, keys, scratch, width, similarity, limit, rounds).links().unionByName(same), scratch)
+    found = scratch.write(rows.select("rid", "doc_id").join(roots, F.col("rid") == F.col("node")).select("rid", "doc_id", "root"))
+    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("rid", "doc_id", "component_id")
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        root, rids, sets = None, [], []
 
-        def linked() -> Iterator[pa.RecordBatch]:
-            if len(rids) > 1:
-                groups = Groups(len(rids))
-                link_sets(sets, similarity, groups)
-                at, to = np.array(rids, np.int64), groups.find(np.arange(len(rids)))
-                part = to != np.arange(len(rids))
-                yield pa.RecordBatch.from_arrays([pa.array(at[part]), pa.array(at[to[part]])], ["a", "b"])
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, limit: int = LIMIT, rounds: int = 16) -> DataFrame:
+    """rid, doc_id, component_id of the rows that a chain of pairs of at least ``similarity`` links to others; rows of one id
+    are linked. component_id is the smallest id of the chain.
 
-        for b in slices(batches, "t"):
-            for r, rid, t in zip(b.column("root").to_pylist(), b.column("rid").to_pylist(), b.column("t").to_pylist(), strict=True):
-                if r != root:
-                    yield from linked()
-                    root, rids, sets = r, [], []
-                rids.append(rid)
-                sets.append(shingles(t, width))
-        yield from linked()
-
-    texts = rows.select("rid", "t").join(maybe, F.col("rid") == F.col("node")).select("root", "rid", "t")
-    links = texts.repartition("root").sortWithinPartitions("root").mapInArrow(meet, "a long, b long")
-    roots = components(links.unionByName(same), scratch)
-    found = rows.select("rid", "doc_id").join(roots, F.col("rid") == F.col("node")).select("rid", "doc_id", "root")
-    return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("rid", "doc_id", "component_id")
+    Candidates share a band of min-hashes, which a pair of similarity s does with probability 1 - (1 - s^ROWS)^BANDS: 0.9998 at
+    0.8, more above. The texts that a chain of candidates holds together are then compared by all their shingles (see ``Similar``)."""
+    scratch = Scratch(docs.sparkSession, "similar")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(quoted(id_col)).cast("long").alias("doc_id"), utf8(quoted(text_col)).alias("t"))
+    return _similar(scratch.write(rows), scratch, width, similarity, limit, rounds)
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, limit: int = LIMIT, rounds: int = 16) -> DataFrame:
     """The document with the smallest id of each group of ``similar_groups``, with all its columns. Rows of one id count as one
     document; a row with a null id cannot be told from others of its kind and stays."""
-    found = similar_groups(docs, id_col, text_col, width, similarity)
-    gone = found.where(F.col("component_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__id"), "left_anti")
+    scratch = Scratch(docs.sparkSession, "similar")
+    rows = scratch.write(numbered(docs))
+    plain = rows.select("rid", F.col(f"row.{quoted(id_col)}").cast("long").alias("doc_id"), utf8(f"row.{quoted(text_col)}").alias("t"))
+    gone = scratch.write(_similar(plain, scratch, width, similarity, limit, rounds).where("doc_id <> component_id").select("rid"))
+    return rows.join(gone, "rid", "left_anti").select("row.*")

@@ -35,7 +35,7 @@ class Scratch:
         self.spark = spark
         self.dir = f"{shared_dir(spark)}/segloom/{name}-{uuid.uuid4().hex[:12]}"
         _MADE.append(self.dir)
-        self._paths: dict[int, str] = {}
+        self._paths: dict[int, tuple[DataFrame, str]] = {}
         self._n = 0
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -43,7 +43,7 @@ class Scratch:
         path = f"{self.dir}/t{self._n}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._paths[id(out)] = path
+        self._paths[id(out)] = out, path  # the frame too, so that no other gets its id
         return out
 
     def path(self, name: str) -> str:
@@ -51,8 +51,8 @@ class Scratch:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later plan reads."""
-        if path := self._paths.pop(id(df), None):
-            remove(self.spark, path)
+        if held := self._paths.pop(id(df), None):
+            remove(self.spark, held[1])
 
 
 def clear(spark: SparkSession) -> None:

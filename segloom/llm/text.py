@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A word: characters other than space and tab to carriage return. ``bytes.split()`` splits at the same ones.
@@ -18,6 +18,16 @@ def utf8(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("binary"), F.lit(b"").cast("binary"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """rid, and the row as one struct ``row``: under it no name of a column can clash with those that an operator makes. To be written
+    before it is used twice, as the numbers depend on the order in which rows arrive."""
+    return docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*(F.col(quoted(c)) for c in docs.columns)).alias("row"))
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def fold(doc_id: str, k: int) -> Column:
     """crc32 of the id as text, modulo ``k``; a null id counts as empty text and so falls in fold 0."""
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(k))

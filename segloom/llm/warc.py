@@ -5,13 +5,19 @@ seekable format of zstd: magic 0x184D2A5E, entries of two sizes, footer 0x8F92EA
 place in the frame, so that one record costs one range read and one frame.
 
 A page whose payload equals that of a page with a smaller id is a ``revisit`` of the first such page. Payloads are told apart
-by SHA-1 and length. A hot payload is a partial aggregation and a join with one row a payload, whose hot keys adaptive execution splits.
+by SHA-256 and length; the SHA-1 that the records carry decides nothing, as equal ones can be made for different payloads. The rows are
+numbered in a table that is written first; which page is the first is found over digests alone (a partial aggregation and a join whose hot keys
+adaptive execution splits), and only the rows that revisit another meet the payloads again.
+
+Reading goes through the index: each bundle is opened once, each frame that the index names is decompressed once, and records are cut out at
+their places. A record that is not the one the index names, a frame whose records do not fill it or a payload that does not fit its digest raises.
 
 Bundles are written by the executors to the folder that the session shares, through pyarrow's file systems, under names
 that hold the task attempt; the index names the files of the attempts that ended well, so a lost executor leaves no wrong record.
 
 A null html is an empty payload, a null url is written as urn:page:<id>. A null id is larger than any other. Rows that repeat an id
-and a payload revisit the first of them. Extra columns are ignored; an empty table gives an empty result.
+and a payload revisit the first of them. A payload that is longer than a frame or a bundle has one to itself. Extra columns are ignored,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
-from .text import slices, utf8
+from .text import quoted, slices, utf8
 
 FRAME = 1 << 20
 BUNDLE = 32 << 20
@@ -137,18 +143,19 @@ class Reader:
 
 def typed(pages: DataFrame, scratch: Scratch, id_col: str, url_col: str, html_col: str, least: int) -> DataFrame:
     """Rows with their payload, digest and the page they revisit, if any."""
-    body = utf8(html_col)
-    rows = pages.select(
-        F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), body.alias("body"), F.sha1(body).alias("sha1"),
-        F.octet_length(body).alias("n"), F.monotonically_increasing_id().alias("rid"),
+    body = utf8(quoted(html_col))
+    rows = scratch.write(
+        pages.select(
+            F.col(quoted(id_col)).cast("long").alias("page_id"), F.col(quoted(url_col)).alias("url"), body.alias("body"), F.sha1(body).alias("sha1"),
+            F.unhex(F.sha2(body, 256)).alias("sha2"), F.octet_length(body).alias("n"), F.monotonically_increasing_id().alias("rid"),
+        )
     )
+    slim = rows.where(F.col("n") >= least).select("sha2", "n", "page_id", "rid")
     order = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id").alias("id"), F.col("rid").alias("rid"))
     # written, so that only an exchange stands between the rows and the join: then adaptive execution can split a hot payload
-    first = scratch.write(rows.groupBy("sha1", "n").agg(F.min(order).alias("first")))
-    again = (F.col("rid") != F.col("first.rid")) & (F.col("n") >= least)
-    return rows.join(first, ["sha1", "n"]).select(
-        "page_id", "rid", "url", "body", "sha1", F.when(again, F.col("first.id")).alias("first_id"), F.when(again, F.col("first.rid")).alias("first_rid")
-    )
+    first = scratch.write(slim.groupBy("sha2", "n").agg(F.min(order).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times"))
+    again = scratch.write(slim.join(first, ["sha2", "n"]).where("rid <> first.rid").select("rid", F.col("first.id").alias("first_id"), F.col("first.rid").alias("first_rid")))
+    return rows.select("page_id", "rid", "url", "body", "sha1").join(again, "rid", "left")
 
 
 def write(pages: DataFrame, uri: str, scratch: Scratch, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = 0, bundle: int = BUNDLE, frame: int = FRAME) -> DataFrame:
@@ -190,29 +197,44 @@ def write(pages: DataFrame, uri: str, scratch: Scratch, id_col: str = "page_id",
 
 
 def read(index: DataFrame) -> DataFrame:
-    """All records of the bundles that an index names, their payloads checked against their digests: page_id, record_id, url,
-    record_type, payload (null for revisits), payload_bytes, payload_digest, refers_to, bundle, frame, place."""
+    """The records that an index names, their payloads checked against their digests: page_id, record_id, url, record_type, payload (null for
+    revisits), payload_bytes, payload_digest, refers_to, bundle, frame, place."""
     schema = "page_id long, record_id string, url string, record_type string, payload binary, payload_bytes long, payload_digest string, refers_to long, bundle string, frame long, place long"
     names = [x.split()[0] for x in schema.split(", ")]
+    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+
+    def records(reader: Reader, uri: str, frame: int, wanted: list[dict]) -> Iterator[tuple]:
+        data, at = reader.frame(frame), 0
+        for want in sorted(wanted, key=lambda w: w["place"]):
+            place, length = want["place"], want["length"]
+            _, used, head, payload = next(parse(data[place : place + length]))
+            kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
+            if (place, length, head["WARC-Record-ID"]) != (at, used, want["record_id"]):
+                raise ValueError(f"{uri}, frame {frame}, {place}: not the record of the index")
+            if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
+                raise ValueError(f"{uri}, frame {frame}, {place}: payload and digest differ")
+            number = lambda key, head=head: int(head[key]) if key in head else None
+            yield (number("X-Page-ID"), want["record_id"], head["WARC-Target-URI"], kind, payload if kind == "response" else None,
+                   int(head["X-Payload-Length"]), digest, number("X-Refers-To-Page-ID"), uri, frame, place)
+            at += length
+        if at != len(data):
+            raise ValueError(f"{uri}, frame {frame}: records that the index does not name")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for uri in b.column("bundle").to_pylist():
-                reader = Reader(uri)
-                for k in range(len(reader.frames)):
-                    rows = []
-                    for place, _, head, payload in parse(reader.frame(k)):
-                        kind, digest = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha1:")
-                        if kind == "response" and base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest:
-                            raise ValueError(f"{uri}, frame {k}: payload and digest differ")
-                        number = lambda key, head=head: int(head[key]) if key in head else None
-                        rows.append((number("X-Page-ID"), head["WARC-Record-ID"], head["WARC-Target-URI"], kind, payload if kind == "response" else None,
-                                     int(head["X-Payload-Length"]), digest, number("X-Refers-To-Page-ID"), uri, k, place))
-                    types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
+            for uri, wanted in zip(b.column("bundle").to_pylist(), b.column("wanted").to_pylist(), strict=True):
+                reader, frames = Reader(uri), {}
+                for w in wanted:
+                    frames.setdefault(w["frame"], []).append(w)
+                if len(frames) != len(reader.frames):
+                    raise ValueError(f"{uri}: frames that the index does not name")
+                for frame, own in sorted(frames.items()):
+                    rows = list(records(reader, uri, frame, own))
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
-    bundles = index.select("bundle").distinct()
-    n = min(max(bundles.count(), 1), 20_000)
+    # a bundle's records are as many as fit its size, and each has its own group
+    bundles = index.groupBy("bundle").agg(F.collect_list(F.struct("record_id", "frame", "place", "length")).alias("wanted"))
+    n = min(max(index.select("bundle").distinct().count(), 1), 20_000)  # a task a bundle, whatever the index's own size
     return bundles.repartition(n).mapInArrow(run, schema)
 
 

@@ -39,7 +39,8 @@ def odd(spark):
         (1, "", "en", "a", 0), (2, None, None, None, None), (None, "some text here", "en", "a", 14), (3, "some text here", "en", None, 14), (3, "some text here", "en", None, 14),
         (4, long, "en", "b", len(long)), (5, long, None, "b", len(long)), (6, " \n\t ", "en", "a", 4), (None, None, None, None, None), (7, "▁ é\U0001f600 x\x00y <0x0A>", "en", "b", 9),
     ]
-    extra = [F.lit(k).alias(k) for k in ("fp", "rid", "score", "kept", "t", "text_sha256", "shard", "key", "size", "k", "bucket", "x", "word", "c", "root", "node", "row", "pass", "mixed")]
+    extra = [F.lit(k).alias(k) for k in ("fp", "rid", "score", "kept", "t", "text_sha256", "shard", "key", "size", "k", "bucket", "x", "word", "c", "root", "node", "row", "pass", "mixed",
+                                              "__id", "__sha", "__t", "__text", "__r", "__n", "a", "b", "n", "keys", "body", "gid", "digit", "spans", "token", "words", "item", "p", "stored", "x.y")]
     return spark.createDataFrame(rows, DOC).select("*", *extra)
 
 
@@ -150,7 +151,10 @@ def test_near_stage_against_brute_force_similarity(spark, texts):
     df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in every.items()], DOC)
     pairs = jaccard_pairs(every)
     assert len(pairs) > 100
-    assert {r.doc_id for r in cp.STAGES[2][1](spark, df, SF).collect()} == set(union_find(pairs, every).values())
+    want = set(union_find(pairs, every).values())
+    assert {r.doc_id for r in cp.STAGES[2][1](spark, df, SF).collect()} == want
+    # candidate groups that no task may hold: a vantage point, then blocks of what it leaves
+    assert {r.doc_id for r in near_dedup.keep_first(df, limit=3000, rounds=1).collect()} == want
 
 
 def test_near_stage_edges(odd, none):
@@ -162,8 +166,9 @@ def test_near_stage_edges(odd, none):
 def test_components_of_long_paths(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1200)] + [(5000, 5000)]
     df = spark.createDataFrame(edges, "a long, b long")
-    got = {r.node: r.root for r in components.components(df, Scratch(spark, "t")).collect()}
-    assert got == {**{i: 0 for i in range(201)}, **{i: 1000 for i in range(1000, 1200)}}
+    for split in (components.SPLIT, 10):
+        got = {r.node: r.root for r in components.components(df, Scratch(spark, "t"), split=split).collect()}
+        assert got == {**{i: 0 for i in range(201)}, **{i: 1000 for i in range(1000, 1200)}}
 
 
 # --- op5 -------------------------------------------------------------------------------------------------------------------------
@@ -184,6 +189,18 @@ def test_exact_groups_split_late(spark):
     assert got == {0: (1, 2, False), 1: (1, 2, True), 2: (2, 1, True), 3: (4, 2, False), 4: (4, 2, True), 5: (5, 1, True), 6: (6, 1, True)}
 
 
+def test_exact_rounds_grow_with_the_logarithm(spark, monkeypatch):
+    writes = []
+    plain = Scratch.write
+    monkeypatch.setattr(Scratch, "write", lambda self, df: writes.append(1) or plain(self, df))
+    for n in (100_000, 20_000_000):
+        writes.clear()
+        text = "0123456789" * (n // 10)
+        df = spark.createDataFrame([(1, text), (2, text), (3, text[:-1] + "x"), (4, "y" * n)], "doc_id long, text string")
+        got = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.exact_groups(df).collect()}
+        assert got == {1: (2, False), 2: (2, True), 3: (3, True), 4: (4, True)} and (len(writes) - 1) // 2 <= 8
+
+
 def test_exact_edges(odd, none):
     rows = exact_dedup.exact_groups(odd).collect()
     assert len(rows) == 10 and exact_dedup.exact_groups(none).count() == 0
@@ -617,8 +634,7 @@ def test_pipeline(spark, texts):
             rows = seen.collect()
             assert len({r.text for r in rows}) == len(rows) == len({texts[i] for i in left}) and all(max(j for j in left if texts[j] == r.text) == r.doc_id for r in rows)
         if len(counts) == 4:
-            prior = {r.doc_id: slow_simhash(r.text) for r in rows}
-            near = [(a, b) for a in prior for b in prior if a < b and (prior[a] ^ prior[b]).bit_count() <= 3]
-            assert {r.doc_id for r in seen.collect()} == set(union_find(near, prior).values())
+            prior = {r.doc_id: r.text for r in rows}
+            assert {r.doc_id for r in seen.collect()} == set(union_find(jaccard_pairs(prior), prior).values())
     out = cp.run(spark, SF)
     assert out.count() == counts[-1] and all(r.decoded for r in out.select("decoded").collect())
