@@ -294,16 +294,67 @@ def test_mix(spark, docs, texts):
     assert {i: n for i, n in words.items() if n} == {r.doc_id: r.taken for r in rows if r.taken}
 
 
-def test_permutation_is_one(spark):
+def test_permutation_is_one():
     for n in (1, 2, 3, 64, 1000):
-        got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(9).cast("long")).alias("x")).collect()
-        assert sorted(r.x for r in got) == list(range(n))
-    assert [r.x for r in got] != list(range(n))
+        got = mixing.permuted(np.arange(n), np.full(n, n), np.full(n, 9)).tolist()
+        assert sorted(got) == list(range(n))
+    assert got != list(range(n))
+    far = mixing.permuted(np.array([0, 1, 10**15]), np.full(3, 3 * 10**15), np.full(3, 4))
+    assert len(set(far.tolist())) == 3 and (far < 3 * 10**15).all() and (far >= 0).all()
 
 
 def test_draws_meet_totals():
     got = np.array(mixing.draw([100, 7, 0, 393], 5, 1))
     assert got.sum(0).tolist() == [100, 7, 0, 393] and got.sum(1).tolist() == [100] * 5 and len({tuple(r) for r in got}) > 1
+    huge = mixing.draw([3 * 10**11, 10**12], 4, 1)
+    assert np.array(huge).sum(0).tolist() == [3 * 10**11, 10**12] and all(abs(r[0] - 75 * 10**9) < 10**6 for r in huge)
+
+
+def test_draws_are_hypergeometric():
+    rng, good, bad, n, times = np.random.default_rng(1), 7, 12, 9, 20_000
+    seen = Counter(mixing.hypergeometric(rng, good, bad, n) for _ in range(times))
+    for x in range(good + 1):
+        p = math.comb(good, x) * math.comb(bad, n - x) / math.comb(good + bad, n)
+        assert abs(seen[x] / times - p) < 4 * math.sqrt(p * (1 - p) / times) + 1e-4
+
+
+def test_mix_pieces_against_the_draw(spark, docs, texts):
+    shard, block, seed = 40, 64, 11
+    rows = mixing.pieces(docs, shard=shard).collect()
+    size = {i: len(WORD.findall(t or "")) for i, t in texts.items()}
+    source = {r.doc_id: r.source for r in docs.collect()}
+    names = sorted(set(source.values()))
+    totals = [sum(size[i] for i in source if source[i] == s) for s in names]
+    blocks = [-(-t // block) for t in totals]
+    slots = [min(2 * b, round(t * b / n)) for t, b, n in zip(mixing.targets(totals), blocks, totals, strict=True)]
+    n_shards = -(-sum(slots) // shard)
+    held = defaultdict(list)
+    for r in rows:
+        held[r.shard, r.slot].append(r)
+    assert len(held) == sum(slots) and all(len({r.source for r in v}) == 1 for v in held.values())
+    # sources by shard are what was drawn, places are a permutation, and the sources lie mixed
+    drawn = Counter((s, v[0].source) for (s, _), v in held.items())
+    want = mixing._deal(slots, [sum(slots) * (s + 1) // n_shards - sum(slots) * s // n_shards for s in range(n_shards)], np.random.default_rng(seed))
+    assert {(s, names[k]): c for s, row in enumerate(want) for k, c in enumerate(row) if c} == dict(drawn)
+    for s in range(n_shards):
+        own = sorted(slot for t, slot in held if t == s)
+        assert own == list(range(len(own)))
+    runs = sum(held[0, i][0].source != held[0, i + 1][0].source for i in range(sum(want[0]) - 1))
+    assert runs > len({v[0].source for (t, _), v in held.items() if t == 0})
+    # a slot holds a block: 64 words of one source but for its last; each block once a pass; passes one after another
+    per = {k: sum(r.hi - r.lo for r in v) for k, v in held.items()}
+    assert set(per.values()) <= {block} | {t % block for t in totals}
+    taken = Counter()
+    for v in held.values():
+        taken[(v[0].source, v[0]["pass"], min((r.doc_id, r.lo) for r in v))] += 1
+    assert set(taken.values()) == {1}
+    for k, s in enumerate(names):
+        assert sum(c for (t, e, _), c in taken.items() if t == s and e == 0) == min(slots[k], blocks[k])
+    # packing: a source's words, one document after another, are cut every 64 words
+    for s, e in {(r.source, r["pass"]) for r in rows}:
+        for i in (i for i in source if source[i] == s):
+            edges = sorted({r.lo for r in rows if r.doc_id == i and r["pass"] == e} - {0})
+            assert len({x % block for x in edges}) <= 1
 
 
 def test_mix_edges(odd, none):
