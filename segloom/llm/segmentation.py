@@ -3,7 +3,7 @@
 A text's lattice has an edge for each vocabulary piece that matches at a place; a character that no piece covers is spelled by
 its byte pieces. A piece of rank r weighs ``(r + 10) ** -alpha``, and a segmentation's probability is the product of its
 weights over the lattice's total. Pieces never reach over the beginning of a run of spaces or a line feed, so the lattice is a chain of
-small ones, one a chunk, and equal chunks share theirs.
+small ones, one a chunk, and equal chunks of a batch share theirs.
 
 Gumbel top-k by perturbed A*-search: the search's regions are sets of segmentations that share a prefix and leave it at one
 place. A region's bound is a Gumbel variable at the logarithm of its mass, truncated at its parent's. The best region gives the next
@@ -27,6 +27,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +37,6 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Characters of a chunk whose path sums fit a double without scaling.
 LONG = 60
-#: Log mass under which a region is looked at only if it could still be among the best.
-NEGLIGIBLE = 45.0
 _CHUNKS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 _STEP, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -49,12 +48,12 @@ def uniform(key: np.ndarray) -> np.ndarray:
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(12)).astype(np.float64) * 2.0**-52 + 2.0**-53
 
 
-#: Bits of a slot of the transition table.
-BITS = 19
+#: Bits of a slot of the transition table, and of a character's number in a key.
+BITS, CHAR = 19, 13
 
 
 def _slot(key: np.ndarray) -> np.ndarray:
-    return ((key.astype(np.uint64) * _STEP) >> np.uint64(64 - BITS)).astype(np.int64)
+    return (key.view(np.uint32) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
 
 
 class Pieces:
@@ -85,10 +84,15 @@ class Pieces:
                 self.trie[piece] = i
         if any("\n" in p or SPACE in p.lstrip(SPACE) for p in self.trie):
             raise ValueError("pieces of this vocabulary reach over chunks")
-        # the trie as a hash table of transitions: state and character to state; state 0 is the empty prefix
+        # the trie as a hash table of transitions: state and number of a character (0: in no piece) to state; state 0 is the empty prefix
         state = {"": 0} | {p: k + 1 for k, p in enumerate(self.trie)}
-        self.keys, self.to = np.full(1 << BITS, -1, np.int64), np.zeros(1 << BITS, np.int32)
-        keys = np.array([state[p[:-1]] << 21 | ord(p[-1]) for p in state if p], np.int64)
+        chars = sorted({c for p in self.trie for c in p})
+        if len(chars) >= 1 << CHAR or len(state) >= 1 << (31 - CHAR):
+            raise ValueError("this vocabulary has too many prefixes or characters")
+        self.char_of = np.zeros(0x110000, np.int32)
+        self.char_of[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.keys, self.to = np.full(1 << BITS, -1, np.int32), np.zeros(1 << BITS, np.int32)
+        keys = np.array([state[p[:-1]] << CHAR | self.char_of[ord(p[-1])] for p in state if p], np.int32)
         for slot, key, k in zip(_slot(keys).tolist(), keys.tolist(), range(1, len(state)), strict=True):
             while self.keys[slot] >= 0:
                 slot = (slot + 1) & ((1 << BITS) - 1)
@@ -104,7 +108,7 @@ class Pieces:
         held = self.keys[slot]
         late = np.nonzero((held != key) & (held >= 0))[0]
         while len(late):  # the next slots, while they are taken by others
-            slot[late] = (slot[late] + 1) & ((1 << BITS) - 1)
+            slot[late] = (slot[late] + np.uint32(1)) & np.uint32((1 << BITS) - 1)
             held[late] = self.keys[slot[late]]
             late = late[(held[late] != key[late]) & (held[late] >= 0)]
         hit = held == key
@@ -135,32 +139,35 @@ def pieces(path: str, alpha: float) -> Pieces:
 
 
 class Lattices:
-    """Lattices of the distinct chunks of a batch, built together. A node is a character of a chunk; the edges of a node stand
-    together, the likeliest first: piece, node that follows (-1 at the chunk's end), log probability and cumulative probability."""
+    """Lattices of the distinct chunks of a batch, built together. A node is a character of a chunk; the edges of a node stand together, the
+    longest first: piece, node that follows (-1 at the chunk's end), log probability and cumulative probability."""
 
     def __init__(self, vocab: Pieces):
         self.vocab = vocab
 
     def build(self, chunks: list[str]) -> np.ndarray:
         """Start node of each of the distinct chunks."""
-        order = [k for k, c in enumerate(chunks) if len(c) <= LONG] + [k for k, c in enumerate(chunks) if len(c) > LONG]
-        sizes = np.fromiter((len(chunks[k]) for k in order), np.int64, len(order))
-        offsets = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        order = np.argsort(sizes > LONG, kind="stable")
+        sizes = sizes[order]
         n_short = int(np.searchsorted(sizes > LONG, True))
+        if n_short < len(chunks):
+            chunks = [chunks[k] for k in order]
+        offsets = np.cumsum(sizes) - sizes
         total = int(sizes.sum())
-        cp = np.frombuffer("".join(chunks[k] for k in order).encode("utf-32-le"), np.uint32).astype(np.int64)
-        end = np.repeat(offsets + sizes, sizes)
+        cp = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
+        end = np.repeat((offsets + sizes).astype(np.int32), sizes)
         first, at, to, piece = self._edges(cp, end)
         weight = self.vocab.weights()[piece]
         last = to == end[at]
-        self.a_first, self.a_piece, self.a_next = first, piece, np.where(last, -1, to)
+        self.a_first, self.a_piece, self.a_next = first, piece, np.where(last, np.int32(-1), to)
         # backward sums of the paths to the chunk's end, by distance from it
         plain = int(first[offsets[n_short]]) if n_short < len(order) else len(at)
         far = (end[at[:plain]] - at[:plain]).astype(np.uint8)
         by_far = np.argsort(far, kind="stable")
         stops = np.searchsorted(far[by_far], np.arange(1, LONG + 2))
         back, value, total_of = np.zeros(total + 1), np.empty(plain), np.empty(plain)
-        here, follow = at[by_far], np.where(last[:plain], total, to[:plain])[by_far]
+        here, follow = at[by_far], np.where(last[:plain], np.int32(total), to[:plain])[by_far]
         back[total], heavy = 1.0, weight[by_far]
         for d in range(LONG):
             e = slice(stops[d], stops[d + 1])
@@ -174,11 +181,11 @@ class Lattices:
         for k in range(n_short, len(order)):  # few; sums are scaled as they would underflow
             lo, hi = first[offsets[k]], first[offsets[k] + sizes[k]]
             q[lo:hi] = np.exp(self._long(at[lo:hi] - offsets[k], to[lo:hi] - offsets[k], weight[lo:hi], int(sizes[k])))
-        self.a_logq = np.log(np.maximum(q, 1e-300))
         upto = np.cumsum(q)
         head = first[at]
         self.a_cum = upto - (upto[head] - q[head])
         self.a_cum[first[1:] - 1] = 2.0
+        self.a_logq = np.log(np.maximum(q, 1e-300))
         start = np.empty(len(chunks), np.int64)
         start[order] = offsets
         return start
@@ -186,15 +193,16 @@ class Lattices:
     def _edges(self, cp: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(first edge of each place, from, to, piece) of every piece that matches at a place; a place's longest piece is first, as
         the likeliest mostly is."""
-        v, places = self.vocab, np.arange(len(cp))
-        live, state, found, n = places, np.zeros(len(cp), np.int64), [], 0
-        counts = np.zeros(len(cp), np.int64)
+        v, places = self.vocab, np.arange(len(cp), dtype=np.int32)
+        char, end = v.char_of[cp], end.astype(np.int32)
+        live, state, found, n = places, np.zeros(len(cp), np.int32), [], 0
+        counts = np.zeros(len(cp), np.int32)
         while len(live):
-            on = live + n < end[live]
-            live, state = live[on], state[on]
-            key = state << 21 | cp[live + n]
-            hit, state = v.follow(key)
-            live, state, n = live[hit], state.astype(np.int64), n + 1
+            if n:
+                on = live + np.int32(n) < end[live]
+                live, state = live[on], state[on]
+            hit, state = v.follow((state << np.int32(CHAR)) | char[live + np.int32(n)])
+            live, n = live[hit], n + 1
             piece = v.piece_of[state]
             is_piece = piece >= 0
             found.append((live[is_piece], n, piece[is_piece]))
@@ -204,8 +212,8 @@ class Lattices:
         spelled = np.array([v.spell(chr(c)) for c in chars], np.int64)[which] if len(bare) else np.empty(0, np.int64)
         found.append((bare, 1, spelled))
         counts[bare] = 1
-        first = np.concatenate([[0], np.cumsum(counts)])
-        slot, to, piece = first[:-1].copy(), np.empty(first[-1], np.int64), np.empty(first[-1], np.int64)
+        first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        slot, to, piece = first[:-1].copy(), np.empty(first[-1], np.int32), np.empty(first[-1], np.int32)
         for place, n, which_piece in reversed(found):
             at = slot[place]
             to[at], piece[at] = place + n, which_piece
@@ -247,12 +255,25 @@ class Lattices:
 
 
 class Path:
-    """A sampled segmentation of a text: its edges, the chunk of each, and the bounds of the regions that leave it."""
+    """A sampled segmentation of a text: its edges, and of the first of them (``head``) the chunks and the bounds of the regions that leave the
+    path there."""
+
+    __slots__ = ("edges", "chunk", "bound", "branch", "barred", "value", "logp", "top")
 
-    __slots__ = ("edges", "chunk", "bound", "branch", "barred", "value", "logp")
+    def __init__(self, edges: np.ndarray, chunk: np.ndarray, branch: int, barred: tuple[int, ...], value: float, logp: float):
+        self.edges, self.chunk, self.branch, self.barred, self.value, self.logp = edges, chunk, branch, barred, value, logp
 
+    def bounded(self, bound: np.ndarray) -> None:
+        self.bound = bound
+        self.top = float(bound.max(initial=-np.inf))
 
-def bounds(phi: np.ndarray, top: float, u: np.ndarray) -> np.ndarray:
+    def take(self, j: int) -> None:
+        """The region at j is no longer this path's."""
+        self.bound[j] = -np.inf
+        self.top = float(self.bound.max(initial=-np.inf))
+
+
+def bounds(phi: np.ndarray, top: float | np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel variables at phi, truncated at top."""
     with np.errstate(over="ignore", divide="ignore", invalid="ignore"):
         out = phi - np.log(-np.log(u) + np.exp(phi - top))
@@ -273,41 +294,48 @@ def sample(texts: list[str], keys: list[int], lattices: Lattices, k: int) -> Ite
     flat, counts = lattices.walk(starts, item_key)
     where = np.concatenate([[0], np.cumsum(counts)])
     chunk_of = np.repeat((np.arange(len(starts)) - np.repeat(began, sizes)).astype(np.int32), counts)
+    total = np.concatenate([[0.0], np.cumsum(lattices.a_logq[flat])])
     tops = -np.log(-np.log(uniform(key * _M1 + _STEP)))
-    done: list[list[Path]] = []
-    for d in range(len(texts)):
-        lo, hi = where[began[d]], where[ends[d]]
-        done.append([_path(lattices, flat[lo:hi], chunk_of[lo:hi], 0, (), float(tops[d]), key[d], k)])
-    keys_of = [uniform_key(key, np.full(len(key), (1 << 52) + r)) for r in range(k)]
+    first = []
+    for lo, hi, top in zip(where[began].tolist(), where[ends].tolist(), tops.tolist(), strict=True):
+        first.append(Path(flat[lo:hi], chunk_of[lo:hi], 0, (), top, float(total[hi] - total[lo])))
+    _bound(lattices, first, key, k)
+    done = [[p] for p in first]
     for r in range(1, k):
         nodes, node_keys, picked = [], [], []
+        draws = uniform(uniform_key(key, np.full(len(key), (1 << 51) + r))).tolist()
         for d, paths in enumerate(done):
-            best = max(paths, key=lambda p: p.bound.max(initial=-np.inf))
-            if len(paths) < r or best.bound.max(initial=-np.inf) == -np.inf:
+            best = paths[0] if len(paths) == 1 else max(paths, key=lambda p: p.top)
+            if len(paths) < r or best.top == -np.inf:
                 continue
             j = int(best.bound.argmax())
-            value, barred = float(best.bound[j]), (int(best.edges[j]), *(best.barred if j == best.branch else ()))
+            value, barred = best.top, (int(best.edges[j]), *(best.barred if j == best.branch else ()))
             c = int(best.chunk[j])
-            node = _node(lattices, int(best.edges[j]))
-            e = _other(lattices, node, barred, float(uniform(uniform_key(key[d : d + 1], np.array([(1 << 51) + r])))[0]))
-            best.bound[j] = -np.inf
-            own = np.concatenate([[lattices.a_next[e]], starts[began[d] + c + 1 : ends[d]]])
+            e = _other(lattices, _node(lattices, int(best.edges[j])), barred, draws[d])
+            best.take(j)
+            own = starts[began[d] + c : ends[d]].copy()
+            own[0] = lattices.a_next[e]
             nodes.append(own)
-            node_keys.append(uniform_key(np.full(len(own), key[d]), np.arange(len(own)) + (r << 40)))
             picked.append((d, best, j, e, c, barred, value, len(own)))
         if not picked:
             break
-        flat, counts = lattices.walk(np.concatenate(nodes), np.concatenate(node_keys))
-        upto, at = np.cumsum(counts), 0
-        before = 0
-        for d, best, j, e, c, barred, value, n in picked:
-            stop = int(upto[at + n - 1])
-            edges = np.concatenate([best.edges[:j], np.array([e], np.int32), flat[before:stop]])
-            of = np.concatenate([best.chunk[:j], np.array([c], np.int32), np.repeat((c + np.arange(n)).astype(np.int32), counts[at : at + n])])
-            done[d].append(_path(lattices, edges, of, j, barred, value, keys_of[r][d], k))
-            at, before = at + n, stop
+        n = np.array([x[-1] for x in picked])
+        at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        flat, counts = lattices.walk(np.concatenate(nodes), uniform_key(np.repeat(key[[x[0] for x in picked]], n), at + (r << 40)))
+        where = np.concatenate([[0], np.cumsum(counts)])
+        total = np.concatenate([[0.0], np.cumsum(lattices.a_logq[flat])])
+        chunk_of = np.repeat((at + np.repeat([x[4] for x in picked], n)).astype(np.int32), counts)
+        cuts = where[np.concatenate([[0], np.cumsum(n)])].tolist()
+        new = []
+        for (d, best, j, e, c, barred, value, _), lo, hi in zip(picked, cuts, cuts[1:], strict=False):
+            edges = np.concatenate([best.edges[:j], np.array([e], np.int32), flat[lo:hi]])
+            of = np.concatenate([best.chunk[:j], np.array([c], np.int32), chunk_of[lo:hi]])
+            logp = float(lattices.a_logq[edges[: j + 1]].sum() + total[hi] - total[lo])
+            new.append(Path(edges, of, j, barred, value, logp))
+            done[d].append(new[-1])
+        _bound(lattices, new, uniform_key(key, np.full(len(key), (1 << 52) + r))[[x[0] for x in picked]], k)
     for paths in done:
-        yield paths, max(float(p.bound.max(initial=-np.inf)) for p in paths)
+        yield paths, max(p.top for p in paths)
 
 
 def uniform_key(key: np.ndarray, item: np.ndarray) -> np.ndarray:
@@ -316,37 +344,45 @@ def uniform_key(key: np.ndarray, item: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _path(lat: Lattices, edges: np.ndarray, chunk: np.ndarray, branch: int, barred: tuple[int, ...], value: float, key: np.uint64, k: int) -> Path:
-    """A segmentation that left its parent at ``branch``, where the edges ``barred`` belong to others."""
-    p = Path()
-    p.edges, p.chunk, p.branch, p.barred, p.value = edges, chunk, branch, barred, value
-    logq = lat.a_logq[edges]
-    before = np.cumsum(logq)
-    p.logp = float(before[-1]) if len(before) else 0.0
-    before -= logq
-    # a bound is at most 37 over its region's mass, so regions of much less mass than the k-th bound so far cannot be among the best k
-    n = max(int(np.searchsorted(-before, NEGLIGIBLE)), branch + 1)
-    p.bound = _bounds(lat, edges[:n], logq[:n], before[:n], branch, barred, value, key)
-    if n < len(edges) and (len(p.bound) <= k or np.partition(p.bound, -k)[-k] <= before[n] + 37):
-        p.bound = _bounds(lat, edges, logq, before, branch, barred, value, key)
-    return p
-
-
-def _bounds(lat: Lattices, edges: np.ndarray, logq: np.ndarray, before: np.ndarray, branch: int, barred: tuple[int, ...], value: float, key: np.uint64) -> np.ndarray:
-    """Bounds of the regions that leave a path at each place from ``branch`` on."""
+#: Edges of a path whose regions are bounded at first: later ones mostly have too little mass to be among the best.
+HEAD = 64
+
+
+def _bound(lat: Lattices, paths: list[Path], key: np.ndarray, k: int, head: int = HEAD) -> None:
+    """Give paths the bounds of the regions that leave them, from the branch on, where the edges ``barred`` belong to others."""
+    if not paths:
+        return
+    n = np.array([min(len(p.edges), max(head, p.branch + 1)) for p in paths])
+    start, total = np.cumsum(n) - n, int(n.sum())
+    flat = np.concatenate([p.edges[:m] for p, m in zip(paths, n.tolist(), strict=True)])
+    at = np.arange(total) - np.repeat(start, n)
+    logq = lat.a_logq[flat]
+    after = np.cumsum(logq)
+    before = after - logq
+    before -= np.repeat(before[np.minimum(start, max(total - 1, 0))], n) if total else 0
     taken = np.exp(logq)
+    barred = [(start[i] + p.branch, e) for i, p in enumerate(paths) for e in p.barred]
     if barred:
-        taken[branch] += np.exp(lat.a_logq[list(barred)]).sum()
+        place, edge = np.array(barred).T
+        np.add.at(taken, place, np.exp(lat.a_logq[edge]))
     with np.errstate(divide="ignore"):
         left = np.where(taken < 1 - 1e-12, np.log1p(-np.minimum(taken, 1)), -np.inf)
-    u = uniform(uniform_key(np.full(len(edges), key), np.arange(len(edges)) + (1 << 50)))
-    out = bounds(before + left, value, u)
-    out[:branch] = -np.inf
-    return out
+    u = uniform(uniform_key(np.repeat(key, n), at + (1 << 50)))
+    bound = bounds(before + left, np.repeat([p.value for p in paths], n), u)
+    bound[at < np.repeat([p.branch for p in paths], n)] = -np.inf
+    again = []
+    for i, (p, lo, m) in enumerate(zip(paths, start.tolist(), n.tolist(), strict=True)):
+        own = bound[lo : lo + m].copy()
+        # a bound is at most 37 over its region's mass, so regions of much less mass than the k-th bound so far cannot be among the best k
+        if m < len(p.edges) and (m <= k or np.partition(own, -k)[-k] <= before[lo + m - 1] + logq[lo + m - 1] + 37):
+            again.append(i)
+        p.bounded(own)
+    if again:
+        _bound(lat, [paths[i] for i in again], key[again], k, 1 << 62 if head > HEAD else 16 * head)
 
 
 def _node(lat: Lattices, edge: int) -> int:
-    return int(np.searchsorted(lat.a_first, edge, side="right")) - 1
+    return int(np.searchsorted(lat.a_first, np.int32(edge), side="right")) - 1
 
 
 def _other(lat: Lattices, node: int, barred: tuple[int, ...], u: float) -> int:
@@ -365,17 +401,27 @@ class Spelling:
         self.size = np.fromiter(map(len, vocab.bytes), np.int64, self.n)
         self.start = np.cumsum(self.size) - self.size
 
-    def decode(self, ids: np.ndarray) -> bytes:
+    def decode(self, ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
+        """Bytes of runs of pieces, which end at ``cuts``."""
         size = self.size[ids]
         ends = np.cumsum(size)
-        return self.flat[np.repeat(self.start[ids] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        data = self.flat[np.repeat(self.start[ids] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        at = np.concatenate([[0], ends])[np.concatenate([[0], cuts])].tolist()
+        return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
-def ids_of(vocab: Pieces, numbers: np.ndarray) -> np.ndarray:
-    """Vocabulary ids of piece numbers: spelled characters become their byte pieces."""
-    if not len(numbers) or numbers.max() < vocab.size:
-        return numbers
-    return np.concatenate([vocab.spelled[i] for i in numbers])
+def ids_of(vocab: Pieces, numbers: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Vocabulary ids of runs of piece numbers that end at ``cuts``, and where they end: spelled characters become their byte pieces."""
+    numbers = numbers.astype(np.int32)
+    late = np.nonzero(numbers >= vocab.size)[0]
+    if not len(late):
+        return numbers, cuts
+    parts, at, longer = [], 0, np.zeros(len(numbers) + 1, np.int64)
+    for k in late.tolist():
+        spelled = vocab.spelled[numbers[k]]
+        parts += [numbers[at:k], np.array(spelled, np.int32)]
+        at, longer[k + 1] = k + 1, len(spelled) - 1
+    return np.concatenate([*parts, numbers[at:]]), cuts + np.cumsum(longer)[cuts]
 
 
 def decode_ids(vocab: Pieces, ids: np.ndarray) -> str:
@@ -392,26 +438,39 @@ def segment(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         lattices, spelling = Lattices(vocab), Spelling(vocab)
         for b in slices(batches, "t", 512 << 10):
             texts = [t or "" for t in b.column("t").to_pylist()]
-            rows = []
-            for text, (paths, kappa) in zip(texts, sample(texts, b.column("key").to_pylist(), lattices, k), strict=True):
-                if len(vocab.bytes) != spelling.n:
-                    spelling = Spelling(vocab)
+            found = list(sample(texts, b.column("key").to_pylist(), lattices, k))
+            paths = [p for ps, _ in found for p in ps]
+            numbers = lattices.a_piece[np.concatenate([p.edges for p in paths])] if paths else np.empty(0, np.int32)
+            if len(vocab.bytes) != spelling.n:
+                spelling = Spelling(vocab)
+            cuts = np.cumsum([len(p.edges) for p in paths])
+            plain = spelling.decode(numbers, cuts)
+            flat, upto = ids_of(vocab, numbers, cuts)
+            edge = [0, *upto.tolist()]
+            sizes, kappas, good, inclusion, at = [], [], [], [], 0
+            for text, (ps, kappa) in zip(texts, found, strict=True):
                 want = b" " + text.replace(SPACE, " ").encode() if text else b""
-                out, good = [], True
-                for i, p in enumerate(paths):
-                    numbers = lattices.a_piece[p.edges]
-                    good &= spelling.decode(numbers) == want
-                    own = ids_of(vocab, numbers).astype("<i4")
-                    out.append({
-                        "log_prob": p.logp, "perturbed": p.value, "inclusion": -math.expm1(-math.exp(min(p.logp - kappa, 50.0))) if kappa > -math.inf else 1.0,
-                        "n_ids": len(own), "ids_sha256": hashlib.sha256(own.tobytes()).hexdigest(), "ids": own if i < ids else None,
-                    })
-                rows.append((len(paths), kappa if kappa > -math.inf else None, out, good))
-            cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], ["doc_id", "n_samples", "kappa", "samples", "decoded"])
-
-    item = pa.struct([("log_prob", pa.float64()), ("perturbed", pa.float64()), ("inclusion", pa.float64()), ("n_ids", pa.int32()), ("ids_sha256", pa.string()), ("ids", pa.list_(pa.int32()))])
-    types = [pa.int32(), pa.float64(), pa.list_(item), pa.bool_()]
+                good.append(all(x == want for x in plain[at : at + len(ps)]))
+                at += len(ps)
+                sizes.append(len(ps))
+                kappas.append(kappa if kappa > -math.inf else None)
+                inclusion += [-math.expm1(-math.exp(min(p.logp - kappa, 50.0))) if kappa > -math.inf else 1.0 for p in ps]
+            raw = memoryview(flat.astype("<i4", copy=False)).cast("B")
+            lists = pa.ListArray.from_arrays(pa.array(np.array(edge, np.int32)), pa.array(flat))
+            if ids < k:
+                which = np.concatenate([np.arange(n) for n in sizes]) if sizes else np.empty(0, int)
+                lists = pc.if_else(pa.array(which < ids), lists, pa.scalar(None, lists.type))
+            samples = pa.StructArray.from_arrays(
+                [pa.array([p.logp for p in paths], pa.float64()), pa.array([p.value for p in paths], pa.float64()), pa.array(inclusion, pa.float64()),
+                 pa.array(np.diff(edge).astype(np.int32)), pa.array([hashlib.sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in zip(edge, edge[1:], strict=False)], pa.string()), lists],
+                ["log_prob", "perturbed", "inclusion", "n_ids", "ids_sha256", "ids"],
+            )
+            upto = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(sizes, pa.int32()), pa.array(kappas, pa.float64()), pa.ListArray.from_arrays(upto, samples), pa.array(good, pa.bool_())],
+                ["doc_id", "n_samples", "kappa", "samples", "decoded"],
+            )
+
     key = F.xxhash64(F.col(id_col).cast("string"), F.lit(seed))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), key.alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     kind = "array<struct<log_prob:double,perturbed:double,inclusion:double,n_ids:int,ids_sha256:string,ids:array<int>>>"
