@@ -402,19 +402,75 @@ def test_language_model(spark, texts):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_class_model_is_a_distribution(spark):
-    rows = [(b"a b a b c",), (b"b a c c a",), (b"d d e",)]
-    model, counts = brown_lm.fit(spark.createDataFrame(rows, "t binary"), Scratch(spark, "t"), classes=4)
-    assert np.allclose((10**model.step).sum(1), 1)
-    count = {r.word: r.c for r in counts.collect()}
-    assert count == {"a": 4, "b": 3, "c": 3, "d": 2, "e": 1}
-    unit = brown_lm.Unit(model.words, model.endings)
-    mass = Counter()
-    for w, c in count.items():
-        k = model.unit_class[unit[w.encode()]]
-        mass[k] += (c + 0.1) / 10 ** model.room[k]
-    for k, m in mass.items():
-        assert m + 0.1 / 10 ** model.room[k] == pytest.approx(1)
+LM = {"classes": 5, "words": 12, "endings": 6, "head": 40}
+
+
+def test_class_model_against_brute_force(spark, texts):
+    """Every token's probability from the classes of the words, and every class outside the core from the contexts of its word."""
+    some = {i: t for i, t in list(texts.items())[:60]} | {9001: "qx unseenword qx", 9002: "", 9003: None}
+    df = spark.createDataFrame([(i, t) for i, t in some.items()], "doc_id long, text string")
+    c = LM["classes"]
+    lower = lambda t: "".join(x.lower() if "A" <= x <= "Z" else x for x in t or "")
+    toks = {i: WORD.findall(lower(t)) for i, t in some.items()}
+    train = [i for i in toks if crc32(str(i).encode()) % 10]
+    count = Counter(w for i in train for w in toks[i])
+    rows = brown_lm.word_classes(df, **LM).collect()
+    cls = {r.word: r["class"] for r in rows}
+    assert {r.word: r.c for r in rows} == count and len(rows) == len(cls)
+    encoded, model = brown_lm._prepare(df, Scratch(spark, "t"), "doc_id", "text", 10, **LM)
+    top = sorted(count, key=lambda w: (-count[w], w.encode()))
+    rest = Counter()
+    for w in top[LM["words"] :]:
+        rest[w[-2:]] += count[w]
+    endings = sorted(rest, key=lambda e: (-rest[e], e.encode()))[: LM["endings"]]
+    unit = lambda w: 2 + top.index(w) if w in top[: LM["words"]] else 2 + LM["words"] + endings.index(w[-2:]) if w[-2:] in endings else 1
+    first = {w: int(model.unit_class[unit(w)]) for w in set(count) | {w for ws in toks.values() for w in ws}}
+    pairs, around = np.zeros((c, c)), defaultdict(lambda: (Counter(), Counter()))
+    for i in train:
+        seq = [None, *toks[i], None]
+        k = [0 if w is None else first[w] for w in seq]
+        for j in range(1, len(seq)):
+            pairs[k[j - 1], k[j]] += 1
+            if seq[j] is not None:
+                around[seq[j]][0][k[j + 1]] += 1
+                around[seq[j]][1][k[j - 1]] += 1
+    assert (pairs == model.moves).all()
+    f = lambda x: x * math.log(max(x, 1))
+
+    def gain(w, b, sign):
+        s, p = around[w]
+        step = lambda x, n: f(x + n) - f(x) if sign > 0 else f(x) - f(x - n)
+        g = sum(step(pairs[b, k], n) for k, n in s.items()) + sum(step(pairs[k, b], n) for k, n in p.items())
+        return g - step(pairs[b].sum(), sum(s.values())) - step(pairs[:, b].sum(), sum(p.values()))
+
+    moved = 0
+    for w in top[LM["words"] :]:
+        best = max((b for b in range(1, c) if b != first[w]), key=lambda b: gain(w, b, 1))
+        want = best if gain(w, best, 1) > gain(w, first[w], -1) + 1e-6 else first[w]
+        assert cls[w] == want or abs(gain(w, cls[w], 1 if cls[w] != first[w] else -1) - gain(w, want, 1 if want != first[w] else -1)) < 1e-5
+        moved += cls[w] != first[w]
+    assert moved > 20 and all(cls[w] == first[w] for w in top[: LM["words"]])
+    # class transitions, emissions and scores
+    of = lambda w: 0 if w is None else cls.get(w, first[w])
+    moves, kinds = np.zeros((c, c)), Counter(cls.values())
+    kinds[0] += 1
+    for i in train:
+        seq = [None, *toks[i], None]
+        for x, y in zip(seq, seq[1:]):
+            moves[of(x), of(y)] += 1
+    size = moves.sum(0)
+    prior = (size + 1) / (size.sum() + c)
+    step = (moves + 5 * prior) / (moves.sum(1, keepdims=True) + 5)
+    assert np.allclose(step.sum(1), 1)
+    for k in range(c):  # emissions of a class and of one unseen word sum to one
+        mass = sum((count[w] + 0.1) / (size[k] + 0.1 * (kinds[k] + 1)) for w in cls if cls[w] == k) + (k == 0) * (len(train) + 0.1) / (size[0] + 0.2)
+        assert mass + 0.1 / (size[k] + 0.1 * (kinds[k] + 1)) == pytest.approx(1)
+    for r in brown_lm.score(df, **LM).collect():
+        want, seq = 0.0, [None, *toks[r.doc_id], None]
+        for x, y in zip(seq, seq[1:]):
+            k = of(y)
+            want += math.log10(step[of(x), k]) + math.log10(((len(train) if y is None else count[y]) + 0.1) / (size[k] + 0.1 * (kinds[k] + 1)))
+        assert r.score == pytest.approx(want, rel=1e-9) and r.perplexity == pytest.approx(10 ** (-want / r.n_tokens), rel=1e-6)
 
 
 def test_exchange_never_loses(spark):
