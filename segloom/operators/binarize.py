@@ -19,7 +19,9 @@ def binarize(peaks: DataFrame, sizes: DataFrame, bin_size: int, key: str = "mark
 
 
 def codes(bits: DataFrame, marks: list[str], key: str = "mark", by: list[str] | None = None) -> DataFrame:
-    """chrom, bin, code: bit j is set where the j-th mark is present."""
+    """chrom, bin, code: bit j is set where the j-th mark is present. A code is a long: more than 63 marks raise."""
+    if len(marks) > 63:
+        raise ValueError("a code holds 63 marks")
     place = F.array_position(F.array(*map(F.lit, marks)), F.col(key)) - 1
     rows = bits.where(F.col(key).isin(marks)).withColumn("__j", place.cast("int"))
     return rows.groupBy(*(by or []), "chrom", "bin").agg(F.bit_or(F.expr("shiftleft(1L, __j)")).alias("code"))

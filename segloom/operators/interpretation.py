@@ -106,8 +106,10 @@ def check_types(types: DataFrame, table: DataFrame) -> None:
         raise ValueError(f"types missing from the types table: {sorted(unknown)}")
 
 
-def type_matrix(types: DataFrame, value: str = "short", most: int = 30) -> DataFrame:
-    """method, 1, 2, ..: the types of a method's states by the number in their name, then by name."""
+def type_matrix(types: DataFrame, value: str = "short") -> DataFrame:
+    """method, 1, 2, ..: the types of a method's states by the number in their name, then by name; as many columns as the method with the most
+    states has."""
     number = F.coalesce(F.regexp_replace("state", r"\D", "").try_cast("int"), F.lit(0))
     rows = types.withColumn("k", F.row_number().over(Window.partitionBy("method").orderBy(number, "state")))
+    most = rows.agg(F.max("k")).first()[0] or 0
     return rows.groupBy("method").pivot("k", list(range(1, most + 1))).agg(F.first(value))

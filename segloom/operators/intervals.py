@@ -92,33 +92,49 @@ def bin_labels(segments: DataFrame, bin_size: int, by: list[str] | None = None,
     return each.groupBy(*keys).agg(F.max_by("state", "__o").alias("state"))
 
 
-def runs(labels: DataFrame, bin_size: int, value: str = "state", by: list[str] | None = None) -> DataFrame:
-    """Segments of adjacent bins with the same value; a segment's end may pass the chromosome's."""
-    keys = [*(by or []), "chrom"]
-    at = Window.partitionBy(*keys, value).orderBy("bin")
-    groups = labels.withColumn("__i", F.col("bin") - F.row_number().over(at)).groupBy(*keys, value, "__i")
-    return groups.agg((F.min("bin") * bin_size).alias("start"), ((F.max("bin") + 1) * bin_size).alias("end")).drop("__i")
+#: Bins of a chromosome that one task follows.
+BINS = 1 << 16
+
 
+def runs(labels: DataFrame, bin_size: int, value: str = "state", by: list[str] | None = None, block: int = BINS) -> DataFrame:
+    """Segments of adjacent bins with the same value; a segment's end may pass the chromosome's. Blocks of a chromosome are followed apart, then
+    their runs."""
+    keys = [*(by or []), "chrom", value]
+    at = Window.partitionBy(*keys, "__b").orderBy("bin")
+    cut = labels.withColumn("__b", F.floor(F.col("bin") / block))
+    first = cut.withColumn("__i", F.col("bin") - F.row_number().over(at)).groupBy(*keys, "__b", "__i").agg(F.min("bin").alias("start"), (F.max("bin") + 1).alias("end"))
+    return _islands(first.drop("__b", "__i"), keys).withColumn("start", F.col("start") * bin_size).withColumn("end", F.col("end") * bin_size)
 
-def depth_sweep(segments: DataFrame, sample: str, bin_size: int, window: int = 0) -> DataFrame:
+
+def depth_sweep(segments: DataFrame, sample: str, bin_size: int, window: int = 0, block: int = BLOCK) -> DataFrame:
     """state, depth, bins, cum_bins: bins that at most ``depth`` samples label with the state. Pieces between the ends of intervals are
-    floor-divided by the bin one by one; with a window every sample's intervals are extended and merged first."""
+    floor-divided by the bin one by one; with a window every sample's intervals are extended and merged first. A block of a chromosome is
+    followed from the depth at which it begins."""
     rows = segments.select(sample, "chrom", "state", "start", "end")
     if window:
         rows = merge_intervals(extend(rows, window), [sample, "state"])
     ends = rows.select("chrom", "state", F.explode(F.array(F.struct(F.col("start").alias("pos"), F.lit(1).alias("d")), F.struct(F.col("end").alias("pos"), F.lit(-1).alias("d")))).alias("x"))
-    net = ends.select("chrom", "state", "x.*").groupBy("chrom", "state", "pos").agg(F.sum("d").alias("d"))
-    at = Window.partitionBy("chrom", "state").orderBy("pos")
-    deep = net.select("state", F.sum("d").over(at.rowsBetween(Window.unboundedPreceding, 0)).alias("depth"), (F.lead("pos").over(at) - F.col("pos")).alias("n"))
+    net = ends.select("chrom", "state", "x.*").groupBy("chrom", "state", "pos").agg(F.sum("d").alias("d")).withColumn("__b", F.floor(F.col("pos") / block))
+    of_blocks = Window.partitionBy("chrom", "state").orderBy("__b")
+    blocks = net.groupBy("chrom", "state", "__b").agg(F.sum("d").alias("__d"), F.min("pos").alias("__p"))
+    begin = blocks.select("chrom", "state", "__b", F.coalesce(F.sum("__d").over(of_blocks.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__from"), F.lead("__p").over(of_blocks).alias("__to"))
+    at = Window.partitionBy("chrom", "state", "__b").orderBy("pos")
+    inside = net.select("chrom", "state", "__b", "pos", F.sum("d").over(at.rowsBetween(Window.unboundedPreceding, 0)).alias("__in"), F.lead("pos").over(at).alias("__next"))
+    deep = inside.join(begin, ["chrom", "state", "__b"]).select("state", (F.col("__from") + F.col("__in")).alias("depth"), (F.coalesce("__next", "__to") - F.col("pos")).alias("n"))
     bins = deep.where("depth > 0 and n is not null").groupBy("state", "depth").agg(F.sum(F.expr(f"n div {bin_size}")).cast("long").alias("bins"))
     upto = Window.partitionBy("state").orderBy("depth").rowsBetween(Window.unboundedPreceding, 0)
     return bins.withColumn("cum_bins", F.sum("bins").over(upto).cast("long"))
 
 
-def transitions(labels: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """from_state, to_state, n: pairs of bins that adjoin."""
-    at = Window.partitionBy(*(by or []), "chrom").orderBy("bin")
-    pairs = labels.withColumn("__p", F.lag("state").over(at)).withColumn("__b", F.lag("bin").over(at)).where(F.col("bin") - F.col("__b") == 1)
+def transitions(labels: DataFrame, by: list[str] | None = None, block: int = BINS) -> DataFrame:
+    """from_state, to_state, n: pairs of bins that adjoin. The last bin of a block of a chromosome is also seen by the next block, as the one
+    before its first."""
+    keys = [*(by or []), "chrom"]
+    own = F.floor(F.col("bin") / block)
+    seen = F.when((F.col("bin") + 1) % block == 0, F.array(own, own + 1)).otherwise(F.array(own))
+    cut = labels.select(*keys, "bin", "state", F.explode(seen).alias("__b"))
+    at = Window.partitionBy(*keys, "__b").orderBy("bin")
+    pairs = cut.withColumn("__p", F.lag("state").over(at)).withColumn("__l", F.lag("bin").over(at)).where((F.col("bin") - F.col("__l") == 1) & (own == F.col("__b")))
     return pairs.groupBy(*(by or []), F.col("__p").alias("from_state"), F.col("state").alias("to_state")).agg(F.count("*").alias("n"))
 
 

@@ -9,10 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.names import natural_key
 from .agreement import jaccard_matrix
-
-#: States of a labelling that the assignment takes on; it runs on one machine.
-MOST = 2000
-
+from .intervals import state_lengths
+from .overlap import WIDTH, overlap_pairs
 
 def assign(gain: np.ndarray) -> list[tuple[int, int]]:
     """Pairs (row, column) of a one-to-one assignment of greatest total gain, by shortest augmenting paths with potentials."""
@@ -50,15 +48,13 @@ def assign(gain: np.ndarray) -> list[tuple[int, int]]:
 
 def assignment(scores: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
     """state1, state2, <value> of the best one-to-one assignment of a grid (state1, state2, value), for each value of ``by``. Surplus
-    states are left out. States stand in natural order, which settles ties."""
+    states are left out. States stand in natural order, which settles ties. A grid is one task: its matrix has the square of the states."""
     keys = by or []
     schema = ", ".join([f"{k} {scores.schema[k].dataType.simpleString()}" for k in keys] + ["state1 string", "state2 string", f"{value} double"])
 
     def solve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         rows = table.to_pandas()
         one, two = (sorted(rows[c].unique(), key=natural_key) for c in ("state1", "state2"))
-        if max(len(one), len(two)) > MOST:
-            raise ValueError(f"more than {MOST} states")
         gain = np.zeros((len(one), len(two)))
         at1, at2 = {s: i for i, s in enumerate(one)}, {s: i for i, s in enumerate(two)}
         gain[rows["state1"].map(at1), rows["state2"].map(at2)] = rows[value].fillna(0.0)
@@ -98,6 +94,22 @@ def match_states(overlap: DataFrame, work: DataFrame, ref: DataFrame, emission:
     return full.select(F.col("state1").alias("work_state"), F.col("state2").alias("ref_state"), "jaccard", "emission", "quality")
 
 
+def match_all(pairs: DataFrame, emission: DataFrame | None = None, width: int = WIDTH) -> DataFrame:
+    """One mapping over several pairs of files: overlaps and lengths are summed over the pairs first. pairs: pair, side (work or ref), chrom,
+    start, end, state."""
+    cut = lambda side: pairs.where(F.col("side") == side).drop("side")
+    work, ref = cut("work"), cut("ref")
+    overlap = overlap_pairs(work, ref, width, on=["pair"]).groupBy(F.col("l_state").alias("state1"), F.col("r_state").alias("state2")).agg(F.sum("bp").cast("long").alias("bp"))
+    return match_states(overlap, state_lengths(work), state_lengths(ref), emission)
+
+
+def pick_emissions(files: DataFrame) -> DataFrame:
+    """dataset, path: the emission file that feeds the matching of a data set: the one that is named (``override``), else that of the binarized
+    signal, else that of the signal; null if there is none. files: dataset, kind (override, binarized, signal), path."""
+    of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("path")))
+    return files.groupBy("dataset").agg(F.coalesce(of("override"), of("binarized"), of("signal")).alias("path"))
+
+
 def relabel(segments: DataFrame, mapping: DataFrame, colors: DataFrame | None = None) -> DataFrame:
     """Segments with mapped states (work_state -> ref_state); unmapped ones keep their name; a leading number and underscore goes, after
     the reference's colour (state, color) was taken by the whole name."""
@@ -110,7 +122,7 @@ def relabel(segments: DataFrame, mapping: DataFrame, colors: DataFrame | None =
 
 def random_bijection(states: DataFrame, other: DataFrame, seed: int) -> DataFrame:
     """A random one-to-one map of two small state lists (state), the same for a seed."""
-    order = lambda k: Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("state", F.lit(seed + k)), "state")
+    order = lambda k: Window.partitionBy(F.lit(0)).orderBy(F.md5(F.concat(F.lit(f"{seed + k}:"), "state").cast("binary")), "state")
     one = states.select(F.col("state").alias("work_state"), F.row_number().over(order(0)).alias("i"))
     two = other.select(F.col("state").alias("ref_state"), F.row_number().over(order(1)).alias("i"))
     return one.join(two, "i", "left").drop("i")

@@ -59,3 +59,15 @@ def region_jaccard(regions: DataFrame, key: str, width: int = WIDTH) -> DataFram
     grid = one.join(two, F.col("key1") < F.col("key2")).join(shared, ["key1", "key2"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
     union = F.col("bp1") + F.col("bp2") - F.col("shared")
     return grid.select("key1", "key2", "shared", F.round(F.coalesce(F.try_divide(F.col("shared"), union), F.lit(0.0)), 6).alias("jaccard"))
+
+
+def overlaps_within(regions: DataFrame, key: str, width: int | None = None) -> DataFrame:
+    """key1, key2, n, bp over all pairs of regions that overlap, both orders and each with itself. Equal regions are counted first, each pair of
+    different ones is made once, and the width of the join's buckets is measured."""
+    each = regions.where("end > start").groupBy(key, "chrom", "start", "end").agg(F.count("*").alias("c"))
+    pairs = overlap_pairs(each, each, width or bucket_width(regions))
+    order = lambda p: F.struct(f"{p}_start", f"{p}_end", f"{p}_{key}")
+    once = pairs.where(order("l") < order("r")).withColumn("n", F.col("l_c") * F.col("r_c"))
+    other = once.select(F.explode(F.array(F.struct(F.col(f"l_{key}").alias("key1"), F.col(f"r_{key}").alias("key2")), F.struct(F.col(f"r_{key}").alias("key1"), F.col(f"l_{key}").alias("key2")))).alias("k"), "n", F.col("bp").alias("one"))
+    own = each.select(F.struct(F.col(key).alias("key1"), F.col(key).alias("key2")).alias("k"), (F.col("c") * F.col("c")).alias("n"), length().alias("one"))
+    return other.unionByName(own).groupBy("k.key1", "k.key2").agg(F.sum("n").cast("long").alias("n"), F.sum(F.col("n") * F.col("one")).cast("long").alias("bp"))

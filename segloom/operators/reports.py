@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions.names import is_joint, is_replicate, should_compare
 from .agreement import ratio
-from .intervals import bin_labels, composition, length, merge_intervals, state_lengths, state_report, total_bp, transition_entropy, transitions
+from .emissions import cosine, gini
+from .enrichment import enrichment
+from .intervals import bin_labels, composition, guarded_sequence, length, merge_intervals, state_lengths, state_report, total_bp, transition_entropy, transitions
+from .matching import assignment
 from .overlap import WIDTH, overlap_pairs
 
 
 def eligible_pairs(labels: DataFrame) -> DataFrame:
     """a, b of the pairs of labellings (label) that may be compared."""
     names = labels.select("label").distinct()
-    both = names.toDF("a").join(F.broadcast(names.toDF("b")), F.col("a") < F.col("b"))
+    both = names.toDF("a").join(names.toDF("b"), F.col("a") < F.col("b"))
     return both.where(should_compare(F.col("a"), F.col("b")))
 
 
@@ -204,3 +207,89 @@ def coverage_share(segments: DataFrame, by: list[str]) -> DataFrame:
     rows = segments.groupBy(*by, "state").agg(F.sum(length()).alias("bp"))
     total = F.sum("bp").over(Window.partitionBy(*by))
     return rows.select(*by, "state", F.try_divide(F.col("bp"), total).alias("share"))
+
+
+def compare_labellings(segments: DataFrame, pairs: DataFrame, bins: DataFrame, emissions: DataFrame | None = None, width: int = WIDTH) -> DataFrame:
+    """The whole comparison of every pair (a, b): ``compare_pairs``, agreement of bins of the smaller bin size of the two (n_bins, bin_kappa), cosine
+    of compositions, and, of pairs whose sides both have emissions (id, state, mark, value), their mean cosine after the one-to-one assignment.
+    bins: id, bin_size."""
+    base = compare_pairs(segments, pairs, width)
+    size = lambda c: bins.select(F.col("id").alias(c), F.col("bin_size").alias(f"__{c}"))
+    sized = pairs.join(F.broadcast(size("a")), "a").join(F.broadcast(size("b")), "b").select("a", "b", F.least("__a", "__b").alias("__n"))
+
+    def side(c: str) -> DataFrame:
+        rows = segments.join(F.broadcast(sized), F.col("id") == F.col(c)).where("state is not null")
+        each = rows.select("a", "b", "chrom", "state", F.struct("start", "end", "state").alias("o"), F.explode(guarded_sequence(F.expr("start div __n"), F.expr("end div __n - 1"))).alias("bin"))
+        return each.groupBy("a", "b", "chrom", "bin").agg(F.max_by("state", "o").alias(f"s_{c}"))
+
+    cells = side("a").join(side("b"), ["a", "b", "chrom", "bin"]).groupBy("a", "b", "s_a", "s_b").agg(F.count("*").cast("double").alias("n"))
+    total = cells.groupBy("a", "b").agg(F.sum("n").alias("t"), F.sum(F.when(F.col("s_a") == F.col("s_b"), F.col("n")).otherwise(0.0)).alias("same"))
+    margin = lambda c: cells.groupBy("a", "b", F.col(f"s_{c}").alias("state")).agg(F.sum("n").alias(f"m_{c}"))
+    chance = margin("a").join(margin("b"), ["a", "b", "state"]).groupBy("a", "b").agg(F.sum(F.col("m_a") * F.col("m_b")).alias("mm"))
+    po, pe = F.col("same") / F.col("t"), F.coalesce("mm", F.lit(0.0)) / (F.col("t") * F.col("t"))
+    by_bin = total.join(chance, ["a", "b"], "left").select("a", "b", F.col("t").cast("long").alias("n_bins"), F.when(pe >= 1, 1.0).otherwise(F.try_divide(po - pe, 1 - pe)).alias("bin_kappa"))
+    lengths = state_lengths(segments, ["id"]).withColumn("bp", F.col("bp").cast("double"))
+    own = lambda c: pairs.join(lengths, F.col("id") == F.col(c)).select("a", "b", "state", F.col("bp").alias(f"l_{c}"))
+    both = own("a").join(own("b"), ["a", "b", "state"], "full").na.fill(0.0, ["l_a", "l_b"]).groupBy("a", "b")
+    x, y = F.col("l_a"), F.col("l_b")
+    shape = both.agg(ratio(F.sum(x * y), F.sqrt(F.sum(x * x) * F.sum(y * y))).alias("composition_cosine"))
+    out = base.join(by_bin, ["a", "b"], "left").join(shape, ["a", "b"], "left")
+    if emissions is None:
+        return out.withColumn("emission_cosine", F.lit(None).cast("double"))
+    vecs = emissions.groupBy("id", "state").agg(F.array_sort(F.collect_list(F.struct("mark", "value"))).alias("v")).select("id", "state", F.col("v.value").alias("v"))
+    vec = lambda c, n: pairs.join(vecs, F.col("id") == F.col(c)).select("a", "b", F.col("state").alias(f"state{n}"), F.col("v").alias(f"v{n}"))
+    alike = vec("a", 1).join(vec("b", 2), ["a", "b"]).select("a", "b", "state1", "state2", cosine(F.col("v1"), F.col("v2")).alias("cosine"))
+    mean = assignment(alike, "cosine", ["a", "b"]).groupBy("a", "b").agg(F.avg("cosine").alias("emission_cosine"))
+    return out.join(mean, ["a", "b"], "left")
+
+
+def emission_records(emissions: DataFrame) -> DataFrame:
+    """Per dataset, method and kind of emissions (dataset, method, kind, state, mark, value): the states, mean and population deviation of the
+    cosines of all pairs of states, and the mean Gini index of the states."""
+    keys = ["dataset", "method", "kind"]
+    vecs = emissions.groupBy(*keys, "state").agg(F.array_sort(F.collect_list(F.struct("mark", "value"))).alias("v")).select(*keys, "state", F.col("v.value").alias("v"))
+    pairs = vecs.toDF(*keys, "s1", "v1").join(vecs.toDF(*keys, "s2", "v2"), keys).where("s1 < s2")
+    alike = pairs.groupBy(*keys).agg(F.avg(cosine(F.col("v1"), F.col("v2"))).alias("mean"), F.stddev_pop(cosine(F.col("v1"), F.col("v2"))).alias("std"))
+    return vecs.groupBy(*keys).agg(F.count("*").alias("n_states"), F.avg(gini(F.col("v"))).alias("gini")).join(alike, keys, "left")
+
+
+def records_by_method(records: DataFrame) -> DataFrame:
+    """Mean over data sets of each method and kind of emissions, and its deviation, 0 where there is one data set."""
+    return records.groupBy("method", "kind").agg(F.avg("mean").alias("mean"), F.coalesce(F.stddev_samp("mean"), F.lit(0.0)).alias("std"), F.count("mean").alias("n"))
+
+
+def grid_agreement(labels: DataFrame) -> DataFrame:
+    """sample1, point1, sample2, point2, ami of every two labellings of a parameter grid (sample, point, chrom, bin, state): of one sample at two
+    points, or of two samples at one point; over the bins that both cover. An index of 1 where both have one state."""
+    one = labels.toDF("sample1", "point1", "chrom", "bin", "s1")
+    two = labels.toDF("sample2", "point2", "chrom", "bin", "s2")
+    pair = (F.col("sample1") == F.col("sample2")) & (F.col("point1") < F.col("point2")) | (F.col("sample1") < F.col("sample2")) & (F.col("point1") == F.col("point2"))
+    keys = ["sample1", "point1", "sample2", "point2"]
+    cells = one.join(two, ["chrom", "bin"]).where(pair).groupBy(*keys, "s1", "s2").agg(F.count("*").cast("double").alias("n"))
+    whole = Window.partitionBy(*keys)
+    p = cells.select(
+        *keys, "s1", "s2", (F.col("n") / F.sum("n").over(whole)).alias("p"), (F.sum("n").over(Window.partitionBy(*keys, "s1")) / F.sum("n").over(whole)).alias("p1"),
+        (F.sum("n").over(Window.partitionBy(*keys, "s2")) / F.sum("n").over(whole)).alias("p2"),
+    )
+    # -sum q ln q over the states is -sum p ln q over the cells
+    out = p.groupBy(*keys).agg(F.sum(F.col("p") * F.ln(F.col("p") / (F.col("p1") * F.col("p2")))).alias("mi"), (-F.sum(F.col("p") * F.ln("p1")) - F.sum(F.col("p") * F.ln("p2"))).alias("h"))
+    return out.select(*keys, F.when(F.col("h") <= 1e-12, 1.0).otherwise(2 * F.col("mi") / F.col("h")).alias("ami"))
+
+
+def evidence_of(segments: DataFrame, bin_size: int, emissions: DataFrame | None = None, annotations: DataFrame | None = None, width: int = WIDTH) -> dict[str, DataFrame]:
+    """All tables of one labelling: report, composition, entropy and transitions of its states, emissions as they are given, and enrichment with
+    its annotations."""
+    moves = transitions(bin_labels(segments, bin_size))
+    out = {"report": state_report(segments), "composition": composition(segments), "entropy": transition_entropy(moves, state_lengths(segments)), "transitions": moves}
+    if emissions is not None:
+        out["emissions"] = emissions
+    if annotations is not None:
+        out["enrichment"] = enrichment(segments, annotations, width)
+    return out
+
+
+def data_set_annotations(standard: DataFrame, atac: DataFrame, expressed: DataFrame, dataset: str) -> DataFrame:
+    """chrom, start, end, label: the standard annotations, the data set's own open chromatin (dataset, chrom, start, end) and its expression
+    annotations (label, chrom, start, end)."""
+    own = atac.where(F.col("dataset") == dataset).select("chrom", "start", "end", F.lit("ATAC").alias("label"))
+    return standard.select("chrom", "start", "end", "label").unionByName(own).unionByName(expressed.select("chrom", "start", "end", "label"))

@@ -117,7 +117,7 @@ def mean_error(rows: DataFrame, by: list[str], value: str = "value") -> DataFram
 def outliers(rows: DataFrame, by: list[str], value: str = "value", low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Rows under the low or over the high percentile of their group, percentiles by linear interpolation."""
     cut = rows.groupBy(*by).agg(F.percentile(value, F.lit(low)).alias("p_low"), F.percentile(value, F.lit(high)).alias("p_high"))
-    return rows.join(F.broadcast(cut), by).where((F.col(value) < F.col("p_low")) | (F.col(value) > F.col("p_high")))
+    return rows.join(cut, by).where((F.col(value) < F.col("p_low")) | (F.col(value) > F.col("p_high")))
 
 
 def unusable(stats: DataFrame, min_share: float = 0.5, min_states: int = 15) -> DataFrame:
@@ -237,14 +237,35 @@ def mean_fractions(fractions: DataFrame, unit: str = "dataset") -> DataFrame:
     return total.join(F.broadcast(units), F.lit(True)).select("state", (F.col("s") / F.col("n")).alias("share"))
 
 
-def sample_pairs(pairs: DataFrame, limit: int = 1000, seed: int = 42) -> DataFrame:
-    """At most ``limit`` pairs (a, b), the same for a seed, in order."""
-    return pairs.orderBy(F.xxhash64("a", "b", F.lit(seed)), "a", "b").limit(limit).orderBy("a", "b")
+def _drawn(*parts: Column) -> Column:
+    """A number of 60 bits from the MD5 of parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts).cast("binary")), 1, 15), 16, 10).cast("long")
+
+
+def sample_pairs(items: DataFrame, key: str, limit: int = 1000, seed: int = 42) -> DataFrame:
+    """At most ``limit`` pairs a < b of the distinct names of a list, the same for a seed, in order; all pairs if there are no more. Pairs are
+    drawn by number and then made, so their number does not grow with the square of the list."""
+    names = items.select(F.col(key).alias("name")).distinct().withColumn("i", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("name")).cast("long") - 1)
+    n = names.count()
+    total = n * (n - 1) // 2
+    spark = items.sparkSession
+    if total <= limit:
+        which = spark.range(total).select(F.col("id").alias("p"))
+    else:
+        draws = spark.range(8 * limit).select("id", F.pmod(_drawn(F.lit(str(seed)), F.col("id").cast("string")), F.lit(total)).alias("p"))
+        which = draws.groupBy("p").agg(F.min("id").alias("id")).orderBy("id").limit(limit)
+    # pair number p of rows (0, 1), (0, 2), .. (1, 2), ..: row i begins at i (2 n - i - 1) / 2
+    begin = lambda i: F.expr(f"{i} * (2L * {n} - {i} - 1) div 2")
+    guess = which.withColumn("i", F.floor((2 * n - 1 - F.sqrt(F.lit(float(2 * n - 1)) ** 2 - 8 * F.col("p"))) / 2).cast("long"))
+    exact = guess.withColumn("i", F.when(begin("i") > F.col("p"), F.col("i") - 1).when(begin("(i + 1)") <= F.col("p"), F.col("i") + 1).otherwise(F.col("i")))
+    both = exact.withColumn("j", F.col("p") - begin("i") + F.col("i") + 1)
+    one, two = names.select(F.col("i"), F.col("name").alias("a")), names.select(F.col("i").alias("j"), F.col("name").alias("b"))
+    return both.join(one, "i").join(two, "j").select("a", "b").orderBy("a", "b")
 
 
 def thin(rows: DataFrame, by: list[str], key: list[str], most: int = 150, seed: int = 42) -> DataFrame:
     """At most ``most`` rows of each group for drawing, the same for a seed."""
-    at = Window.partitionBy(*by).orderBy(F.xxhash64(*key, F.lit(seed)), *key)
+    at = Window.partitionBy(*by).orderBy(_drawn(F.lit(str(seed)), *(F.col(k).cast("string") for k in key)), *key)
     return rows.withColumn("__r", F.row_number().over(at)).where(F.col("__r") <= most).drop("__r")
 
 
@@ -269,3 +290,22 @@ def in_order(rows: DataFrame, column: str, known: list[str]) -> DataFrame:
 def reindex(rows: DataFrame, keys: DataFrame, on: list[str], fill: float = 0.0) -> DataFrame:
     """Rows for every key, ``fill`` where there are none."""
     return keys.join(rows, on, "left").na.fill(fill)
+
+
+def sweep_order(points: DataFrame, by: list[str], sign: int = 1) -> DataFrame:
+    """Points with ``step``, their place in a sweep by threshold (ascending, or descending for a sign of -1), and ``edge``: first, last or null."""
+    t = F.col("threshold") * sign
+    up, down = Window.partitionBy(*by).orderBy(t), Window.partitionBy(*by).orderBy(F.desc(t))
+    rows = points.withColumn("step", F.row_number().over(up).cast("long"))
+    return rows.withColumn("edge", F.when(F.col("step") == 1, "first").when(F.row_number().over(down) == 1, "last"))
+
+
+def group_share(rows: DataFrame, by: list[str], value: str, whole: str = "sum") -> DataFrame:
+    """``share``: the value over the sum, maximum, mean or median of its group."""
+    over = {"sum": F.sum, "max": F.max, "mean": F.avg, "median": F.median}[whole](value).over(Window.partitionBy(*by))
+    return rows.withColumn("share", F.try_divide(F.col(value), over))
+
+
+def in_sequence(rows: DataFrame, order: str, name: str = "ord") -> DataFrame:
+    """Rows of a small list numbered from 1 in an order."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(order)).cast("long"))

@@ -183,8 +183,7 @@ def ovl_join(spark, sf):
 @query(V.with_views("peaks", {}, """SELECT a.mark AS mark1, b.mark AS mark2, count(*) AS n, CAST(sum(least(a."end", b."end") - greatest(a.start, b.start)) AS BIGINT) AS bp
     FROM peaks a JOIN peaks b ON a.chrom = b.chrom AND a.start < b."end" AND b.start < a."end" GROUP BY 1, 2"""))
 def ovl_join_bucketed(spark, sf):
-    p = V.peaks(spark, sf)
-    return O.overlap_pairs(p, p, WIDTH).groupBy(F.col("l_mark").alias("mark1"), F.col("r_mark").alias("mark2")).agg(F.count("*").alias("n"), F.sum("bp").cast("long").alias("bp"))
+    return O.overlaps_within(V.peaks(spark, sf), "mark").toDF("mark1", "mark2", "n", "bp")
 
 
 @query(V.with_views("peaks", {"m": _ISL.format(keys="mark, chrom", src="peaks"), "sz": 'SELECT mark, sum("end" - start) AS bp FROM peaks GROUP BY 1',
@@ -470,18 +469,34 @@ def minmax_scale(spark, sf):
 # --- matching, clustering (rows only) ----------------------------------------------------------------------------------------
 
 
-@query()
+def _best(gain: str, columns: str) -> str:
+    """SQL of the one-to-one assignment of greatest total gain of a grid (state1, state2, gain) of few states, by trying all."""
+    return f"""WITH RECURSIVE {{views}}, gr AS ({gain}), o AS (SELECT state1, row_number() OVER (ORDER BY state1) AS i FROM (SELECT DISTINCT state1 FROM gr)),
+        pm(i, used, total) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]), CAST(0.0 AS DOUBLE) UNION ALL SELECT o.i, list_append(pm.used, gr.state2), pm.total + gr.gain
+            FROM pm JOIN o ON o.i = pm.i + 1 JOIN gr ON gr.state1 = o.state1 AND NOT list_contains(pm.used, gr.state2)),
+        top AS (SELECT used FROM pm WHERE i = (SELECT max(i) FROM o) ORDER BY total DESC LIMIT 1)
+        SELECT {columns} FROM o, top JOIN gr ON gr.state1 = o.state1 AND gr.state2 = top.used[o.i]"""
+
+
+def _over(names: str, more: dict[str, str], body: str) -> str:
+    return body.replace("{views}", V.with_views(names, more, "").removeprefix("WITH ").rstrip())
+
+
+@query(_over("seg", _OV, _best("SELECT state1, state2, CAST(bp AS DOUBLE) AS gain FROM ov", "gr.state1, gr.state2, gr.gain AS bp")))
 def best_mapping(spark, sf):
     return M.best_mapping(pair(spark, sf)[0])
 
 
-@query()
+@query(_over("seg", _OV, _best("""SELECT l1.state AS state1, l2.state AS state2, coalesce(ov.bp, 0) / (l1.bp + l2.bp - coalesce(ov.bp, 0)) AS jaccard,
+    sqrt(coalesce(ov.bp, 0) / (l1.bp + l2.bp - coalesce(ov.bp, 0))) AS gain FROM l1 CROSS JOIN l2 LEFT JOIN ov ON ov.state1 = l1.state AND ov.state2 = l2.state""",
+    "gr.state1 AS work_state, gr.state2 AS ref_state, round(jaccard, 6) AS jaccard, CAST(NULL AS DOUBLE) AS emission, round(jaccard, 6) AS quality")))
 def match_states(spark, sf):
     ov, l1, l2 = pair(spark, sf)
     return rounded(M.match_states(ov, l1, l2))
 
 
-@query()
+# of a table with itself, where no two states are alike, the best assignment is the identity
+@query(V.with_views("emis", {}, "SELECT CAST(1.0 AS DOUBLE) AS cosine, count(DISTINCT state) AS n FROM emis"))
 def emission_match(spark, sf):
     v = E.vectors(V.emis(spark, sf))
     return rounded(M.emission_mapping(E.cosine_matrix(E.augmented(v), E.augmented(v)), E.cosine_matrix(v, v)))
@@ -500,10 +515,12 @@ def joint_kmeans(spark, sf):
     return I.runs(C.label_bins(coded, labels), 100, by=["cell"]).groupBy("cell", "state").agg(F.count("*").alias("n_segments"), F.sum(F.col("end") - F.col("start")).alias("bp"))
 
 
-@query()
+@query("""WITH n AS (SELECT s_suppkey AS name, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM (SELECT DISTINCT s_suppkey FROM supplier)),
+    t AS (SELECT count(*) AS n, count(*) * (count(*) - 1) // 2 AS total FROM n), pr AS (SELECT a.name AS a, b.name AS b, row_number() OVER (ORDER BY a.i, b.i) - 1 AS p FROM n a JOIN n b ON a.i < b.i),
+    d AS (SELECT p, min(k) AS k FROM (SELECT k, CAST('0x' || substr(md5('42:' || k), 1, 15) AS BIGINT) % total AS p FROM range(0, 1600) r(k), t) GROUP BY 1 ORDER BY 2 LIMIT 200)
+    SELECT a, b FROM pr, t WHERE total <= 200 OR p IN (SELECT p FROM d)""")
 def sampled_pairs(spark, sf):
-    items = V.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
-    return S.sample_pairs(S.unordered_pairs(items, "id"), 1000)
+    return S.sample_pairs(V.table(spark, sf, "supplier"), "s_suppkey", 200)
 
 
 # --- interpretation -----------------------------------------------------------------------------------------------------------
@@ -842,10 +859,14 @@ def known_order(spark, sf):
     return S.in_order(V.table(spark, sf, "events").select(F.col("event_type").alias("state")).distinct(), "state", ["view", "click"])
 
 
-@query(V.with_views("seg ann", _enrich_sql('SELECT chrom, start, "end", state FROM seg WHERE side = 0'), """SELECT label, round(sum(sensitivity), 6) AS sensitivity FROM out WHERE state IN ('click', 'view') GROUP BY 1"""))
+@query(V.with_views("seg ann", _enrich_sql('SELECT chrom, start, "end", state FROM seg WHERE side = 0'), """SELECT label, round(sum(sensitivity), 4) AS sensitivity,
+    round(sum(coverage * sbp) / sum(sbp), 4) AS coverage, round(sum(coverage * sbp) / sum(sbp) / arg_min(coverage / fold, state) FILTER (fold > 0), 4) AS fold
+    FROM out JOIN (SELECT state, sum("end" - start) AS sbp FROM s GROUP BY 1) USING (state) WHERE state IN ('click', 'view') GROUP BY 1"""))
 def pooled_sensitivity(spark, sf):
-    table = R.enrichment(sides(spark, sf)[0], V.ann(spark, sf), WIDTH)
-    return rounded(table.where(F.col("state").isin("click", "view")).groupBy("label").agg(F.sum("sensitivity").alias("sensitivity")))
+    seg = sides(spark, sf)[0]
+    table, sizes = R.enrichment(seg, V.ann(spark, sf), WIDTH), I.state_report(seg).select("state", "total_bp")
+    each = [R.pooled_from_table(table, sizes, ["click", "view"], k).select(F.lit(k).alias("label"), "sensitivity", "coverage", "fold") for k in ("F", "O", "P")]
+    return rounded(each[0].unionByName(each[1]).unionByName(each[2]), 4)
 
 
 @query()
@@ -854,12 +875,16 @@ def kmeans_quality(spark, sf):
     return spark.createDataFrame([tuple(r.values()) for r in rows], "k int, inertia double, silhouette double, entropy double, states int")
 
 
-@query()
+@query(V.with_views("seg", {"s": "SELECT DISTINCT state FROM seg"}, """SELECT a.state AS work_state, b.state AS ref_state FROM (SELECT state, row_number() OVER (ORDER BY md5('7:' || state), state) AS i FROM s) a
+    JOIN (SELECT state, row_number() OVER (ORDER BY md5('8:' || state), state) AS i FROM s) b USING (i)"""))
 def random_bijection(spark, sf):
     states = V.seg(spark, sf).select("state").distinct()
     return M.random_bijection(states, states, 7)
 
 
+from . import catalogue  # noqa: E402,F401  (registers its queries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

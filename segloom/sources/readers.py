@@ -8,9 +8,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _place() -> Column:
+    """Sorts rows by file name, then by place in the file, however a scan packs files and their parts into tasks."""
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row"))
+
+
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """value, file and ord (file order) of text files, plain or gzip; globs expand."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ord"))
+    """value, file and ord (by file name and line) of text files, plain or gzip; globs expand."""
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), _place().alias("ord"))
+
+
+def header_lines(spark: SparkSession, path: str) -> DataFrame:
+    """n: track and browser lines before the first other line of a file."""
+    rows = lines(spark, path).withColumn("__h", _is_header())
+    first = rows.agg(F.min(F.when(~F.col("__h"), F.col("ord"))).alias("__first"))
+    return rows.join(F.broadcast(first), F.lit(True)).where(F.col("__h") & (F.col("__first").isNull() | (F.col("ord") < F.col("__first")))).agg(F.count("*").alias("n"))
 
 
 def _field(i: int) -> Column:
@@ -109,7 +121,7 @@ def chrom_names(spark: SparkSession, path: str | None) -> list[str]:
 def read_tpms(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """gene_id, tpm, ord of a quantification table with a header; rows whose TPM is no number are skipped, and a repeated gene keeps
     its last row."""
-    raw = spark.read.csv(path, sep="\t", header=True).select("gene_id", F.col("TPM").try_cast("double").alias("tpm"), F.monotonically_increasing_id().alias("ord"))
+    raw = spark.read.csv(path, sep="\t", header=True).select("gene_id", F.col("TPM").try_cast("double").alias("tpm"), _place().alias("ord"))
     last = raw.where("tpm is not null and gene_id is not null and not isnan(tpm)").groupBy("gene_id").agg(F.max(F.struct("ord", "tpm")).alias("x"))
     return last.select("gene_id", "x.tpm", "x.ord")
 
@@ -174,7 +186,10 @@ def read_emissions_npz(spark: SparkSession, path: str) -> DataFrame:
     """state, mark, value of a small archive of states, marks and a matrix; read on the driver."""
     import numpy as np
 
-    with np.load(path, allow_pickle=False) as z:
+    from pyarrow.fs import FileSystem
+
+    fs, local = FileSystem.from_uri(path)
+    with fs.open_input_file(local) as file, np.load(file, allow_pickle=False) as z:
         states, marks, mat = (z[k] for k in ("states", "marks", "mat" if "mat" in z else "matrix"))
     rows = [(str(s), str(m), float(mat[i, j])) for i, s in enumerate(states) for j, m in enumerate(marks)]
     return spark.createDataFrame(rows, "state string, mark string, value double")

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.names import natural_order
+from ..functions.names import natural_key, natural_order
 
 
 def write_bed(rows: DataFrame, path: str, order: DataFrame | None = None) -> None:
@@ -68,6 +68,64 @@ def write_enrichment(table: DataFrame, path: str, labels: list[str]) -> None:
         write_table(wide(table, "state", "label", name, labels, 6), f"{path}/{name}", order=["state"])
 
 
+def write_emissions_npz(table: DataFrame, path: str) -> None:
+    """Archive of states, marks and the matrix of an emission table (state, mark, value): a few thousand numbers, on the driver."""
+    import io
+
+    import numpy as np
+    from pyarrow.fs import FileSystem
+
+    rows = table.orderBy("state", "mark").collect()
+    states, marks = sorted({r.state for r in rows}, key=natural_key), sorted({r.mark for r in rows}, key=natural_key)
+    mat = np.zeros((len(states), len(marks)))
+    for r in rows:
+        mat[states.index(r.state), marks.index(r.mark)] = r.value
+    data = io.BytesIO()
+    np.savez(data, states=np.array(states), marks=np.array(marks), mat=mat)
+    fs, local = FileSystem.from_uri(path)
+    fs.create_dir(local.rsplit("/", 1)[0], recursive=True)
+    with fs.open_output_stream(local, compression=None) as out:
+        out.write(data.getvalue())
+
+
+def write_transitions(counts: DataFrame, entropy: DataFrame, states: list[str], path: str) -> None:
+    """Entropy by state, and the matrix of shares of each state's successors (from_state, to_state, n), 0 where there are none."""
+    write_table(entropy, f"{path}/entropy", 6, ["state"])
+    total = counts.groupBy("from_state").agg(F.sum("n").alias("__t"))
+    share = counts.join(total, "from_state").select("from_state", "to_state", F.try_divide(F.col("n"), F.col("__t")).alias("p"))
+    write_table(wide(share, "from_state", "to_state", "p", states, 6).na.fill("0.000000"), f"{path}/transitions", order=["from_state"])
+
+
+def write_metrics(matrix: DataFrame, labels: list[str], path: str) -> None:
+    """A symmetric matrix (a, b, value) in the order of the labels; pairs that were not compared are 0 in it."""
+    order = F.array_position(F.array(*map(F.lit, labels)), F.col("a"))
+    write_table(wide(matrix, "a", "b", "value", labels, 6).withColumn("__o", order).orderBy("__o").drop("__o"), path)
+
+
+def write_inter_dataset(rows: DataFrame, path: str) -> None:
+    """Table of pairs across data sets by method and both data sets."""
+    write_table(rows, path, 6, ["method", "dataset_a", "dataset_b"])
+
+
+def write_pair_report(overlap: DataFrame, mapping: DataFrame, work: DataFrame, grid: DataFrame, ref_states: list[str], path: str) -> None:
+    """Matrix of the grid's Jaccard, and the similarity: matched bp over the bp of the work labelling."""
+    write_table(wide(grid, "state1", "state2", "jaccard", ref_states), f"{path}/jaccard", order=["state1"])
+    write_table(similarity(overlap, mapping, work), f"{path}/similarity", 6)
+
+
+def similarity(overlap: DataFrame, mapping: DataFrame, work: DataFrame) -> DataFrame:
+    """similarity: bp that lie under the state they are mapped to (work_state, ref_state), over all bp of the work labelling (state, bp)."""
+    hit = overlap.join(F.broadcast(mapping.select(F.col("work_state").alias("state1"), F.col("ref_state").alias("state2"))), ["state1", "state2"]).agg(F.coalesce(F.sum("bp"), F.lit(0)).alias("hit"))
+    whole = work.agg(F.sum("bp").alias("whole"))
+    return hit.join(whole, F.lit(True)).select(F.coalesce(F.try_divide(F.col("hit").cast("double"), F.col("whole")), F.lit(0.0)).alias("similarity"))
+
+
+def cell_mark_table(files: DataFrame) -> DataFrame:
+    """cell, mark, file, control of each signal file (dataset, accession, mark, control), as the learner's table names them."""
+    named = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.col(c), F.lit(".bam")))
+    return files.where("mark is not null").select(F.col("dataset").alias("cell"), "mark", named("accession").alias("file"), F.coalesce(named("control"), F.lit("")).alias("control"))
+
+
 def joint_input(one: DataFrame, two: DataFrame) -> DataFrame:
     """Binarizations (cell, chrom, bin, mark, v) of two replicates over their common marks and chromosomes; an error if none is
     common."""
