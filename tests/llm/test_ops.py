@@ -707,6 +707,130 @@ def test_pii(spark, texts):
             assert set(filter(None, listed.split(","))) <= set(r.spans.split(","))
 
 
+def naive_bootstrap(texts):
+    """Spans that the contexts add, from the definitions: {doc: {(kind, start, end)}}."""
+    blank = "[\\x20\\x09-\\x0D]"
+    word = "[^\\x20\\x09-\\x0D]"
+    base = {i: [(k, s, e) for s, _, k, e in slow_spans(t)] for i, t in texts.items()}
+    other = {}
+    for i, t in texts.items():
+        cands = []
+        for m in re.finditer(rf"{word}+", t or ""):
+            if re.search("[0-9@]", m[0]):
+                p = re.match(r"[^A-Za-z0-9]*(?:[A-Za-z_.-]+[=:][^A-Za-z0-9]*)?", m[0])[0]
+                item = re.sub(r"[^A-Za-z0-9]*$", "", m[0][len(p) :])
+                if (len(item) >= 6 and len(re.sub("[^0-9]", "", item)) >= 3) or re.search("[A-Za-z0-9]@[A-Za-z0-9]", item):
+                    cands.append((m.start() + len(p), m.start() + len(p) + len(item), False))
+        for m in re.finditer(rf"(?<!{word})[0-9+(][0-9().+-]*(?: [0-9(][0-9().-]*)+(?![^\x20\x09-\x0D.,;:!?])", t or ""):
+            p = re.match("[^A-Za-z0-9]*", m[0])[0]
+            item = re.sub(r"[^A-Za-z0-9]*$", "", m[0][len(p) :])
+            if len(re.sub("[^0-9]", "", item)) >= 7 and " " in item:
+                cands.append((m.start() + len(p), m.start() + len(p) + len(item), True))
+        other[i] = [c for c in cands if not any(s < c[1] and c[0] < e for _, s, e in base[i])]
+
+    def patterns(t, s, e):
+        low = t.lower()
+        glued = re.search(rf"{word}*$", low[:s])[0]
+        before = re.findall(rf"{word}+", low[: s - len(glued)])
+        after = re.findall(rf"{word}+", low[e + len(re.match(rf"{word}*", low[e:])[0]) :])
+        cue = re.fullmatch(r"[^a-z0-9]*([a-z_.-]+[=:])[^a-z0-9]*", glued)
+        if before:
+            yield "L", before[-1]
+            if len(before) > 1:
+                yield "L2", f"{before[-2]} {before[-1]}"
+        if after:
+            yield "R", after[0]
+            if len(after) > 1:
+                yield "R2", f"{after[0]} {after[1]}"
+        if before and after and not re.search(blank, t[s:e]):
+            yield "S", f"{before[-1]} {after[0]}"
+        if cue:
+            yield "P", cue[1]
+
+    occurs, edges, sure = Counter(), Counter(), defaultdict(set)
+    for i, t in texts.items():
+        ws = re.findall(rf"{word}+", (t or "").lower())
+        for k, w in enumerate(ws):
+            occurs["U", w] += 1
+            if k + 1 < len(ws):
+                occurs["B", f"{w} {ws[k + 1]}"] += 1
+            if k + 2 < len(ws):
+                occurs["S", f"{w} {ws[k + 2]}"] += 1
+            if c := re.match(r"[^a-z0-9]*([a-z_.-]+[=:])", w):
+                occurs["P", c[1]] += 1
+        for s, e in [x[1:] for x in base[i]] + [x[:2] for x in other[i]]:
+            for p in patterns(t, s, e):
+                edges[p, t[s:e]] += 1
+        for k, s, e in base[i]:
+            sure[t[s:e]].add(k)
+    items = defaultdict(set)
+    for p, x in edges:
+        items[p].add(x)
+    score = {(x, k): 1.0 for x, ks in sure.items() for k in ks}
+    for _ in range(pii.ROUNDS):
+        conf = {}
+        for p, xs in items.items():
+            if len(xs) >= pii.SUPPORT:
+                for k in PLAIN:
+                    own = [x for x in xs if (x, k) in score]
+                    c = min(1.0, sum(edges[p, x] * score[x, k] for x in own) / occurs[pii._COUNTED[p[0]], p[1]])
+                    if len(own) >= pii.SUPPORT and c >= pii.SURE:
+                        conf[p, k] = c
+        now = {(x, k): 1.0 for x, ks in sure.items() for k in ks}
+        for (p, k), c in conf.items():
+            for x in items[p]:
+                now[x, k] = max(now.get((x, k), 0), c)
+        score = now
+    best = {}
+    for (x, k), c in score.items():
+        best[x] = max(best.get(x, (0, "")), (c, k))
+    out = {}
+    for i, t in texts.items():
+        got = [(best[t[s:e]][1], s, e, run) for s, e, run in other[i] if t[s:e] in best]
+        out[i] = {(k, s, e) for k, s, e, run in got if run or not any(r and a <= s < b for _, a, b, r in got)}
+    return out
+
+
+def planted(rng, n=240):
+    """Texts of random words with identifiers in contexts that repeat, and unseen ones that no base pattern takes: {doc: text}, {doc: (start, end)}."""
+    filler = [f"{a}{b}{c}" for a in "bdfgklmn" for b in "aeiou" for c in ("r", "st", "nt", "l")]
+    words = lambda k: " ".join(rng.choice(filler, k))
+    texts, unseen = {}, {}
+    for i in range(n):
+        kind, new = i % 4, i % 12 > 8
+        d = lambda k: "".join(map(str, rng.integers(0, 10, k)))
+        if kind == 0:
+            lead, x = "reach her under mailbox ", f"{rng.choice(filler)}{d(1)}@{rng.choice(filler)}" + ("" if new else ".org")
+        elif kind == 1:
+            lead, x = "host ip=", f"10.{d(1)}.{d(2)}." + ("x" + d(1) if new else "7")
+        elif kind == 2:
+            body = d(15)
+            tail = next(c for c in "0123456789" if luhn(body + c) != new)
+            lead, x = "charged to cardnumber ", body + tail
+        else:
+            x = f"555 {rng.integers(100, 999)} {rng.integers(1000, 9999)}"
+            lead, x = "please call hotline ", x if new else "+1 " + x
+        start = words(6) + " " + lead
+        texts[i] = f"{start}{x} {words(1)} " + words(5)
+        if new:
+            unseen[i] = (len(start), len(start) + len(x))
+    return texts, unseen
+
+
+def test_bootstrapping_against_brute_force(spark, texts):
+    mine, unseen = planted(np.random.default_rng(4))
+    for rows in (mine, dict(list(texts.items())[:80]) | {5000 + i: t for i, t in mine.items()}):
+        df = spark.createDataFrame([(i, t) for i, t in rows.items()], "doc_id long, text string")
+        want = naive_bootstrap(rows)
+        for r in pii.find(df).collect():
+            base = {(k, s, e) for s, _, k, e in slow_spans(rows[r.doc_id])}
+            spans = {(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r.spans.split(",") if x)}
+            assert spans == base | want[r.doc_id] and r.n_found == len(want[r.doc_id]), (r, want[r.doc_id])
+    got = naive_bootstrap(mine)
+    hit = sum(any((s, e) == unseen[i] for _, s, e in got[i]) for i in unseen)
+    assert hit >= 0.9 * len(unseen) and not any(got[i] for i in mine if i not in unseen)
+
+
 def test_contexts_find_unseen_identifiers(spark):
     cards = ["4111111111111111", "5500005555555559", "340000000000009", "30000000000004", "6011000000000004", "3530111333300000"]
     rows = [(i, f"please charge cardnumber {c} today {i}") for i, c in enumerate(cards)] + [(50, "please charge cardnumber 99887766554433 today"), (51, "an order 99887766554433 came"), (52, "an order 123456789 came")]
@@ -715,6 +839,16 @@ def test_contexts_find_unseen_identifiers(spark):
     assert got[51].n_found == 1 and got[52].n_found == 0
 
 
+def test_long_gaps_and_words_are_whole(spark):
+    """Contexts behind more blanks, and in longer words, than the part of a gap that is looked at first."""
+    cue, far = "q" * 300, " " * 200
+    texts = {i: f"one {cue}{far}10.0.{i}.1 two" for i in range(6)} | {9: f"one {cue}{far}10.0.9.999 two", 10: "x" * 30000 + "1234567 " + cue}
+    want = naive_bootstrap(texts)
+    assert want[9]
+    for r in pii.find(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        assert r.n_found == len(want[r.doc_id])
+
+
 def test_pii_edges(odd, none):
     assert pii.find(odd).count() == 10 and pii.find(none).count() == 0
 
