@@ -24,7 +24,7 @@ from .queries import BIN, WIDTH, pair, query, rounded, sides
 
 def _values(columns: str, rows: list[tuple]) -> str:
     """SQL of a small table."""
-    text = lambda v: "NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
+    text = lambda v: "CAST(NULL AS VARCHAR)" if v is None else f"'{v}'" if isinstance(v, str) else str(v).upper() if isinstance(v, bool) else f"CAST({v} AS DOUBLE)" if isinstance(v, float) else str(v)
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({columns})"
 
 
@@ -458,7 +458,7 @@ def zipped_emissions(spark, sf):
 
 @query("""WITH s AS (SELECT l_returnflag AS method, l_linestatus AS mark, CASE l_linenumber % 3 WHEN 0 THEN '' WHEN 1 THEN 'rep1' ELSE 'rep2' END AS rep, count(*) FILTER (l_suppkey % 2 = 0 OR l_linenumber % 3 <> 0) AS n, avg(CAST(l_quantity AS DOUBLE)) AS mean_len FROM lineitem GROUP BY 1, 2, 3)
     SELECT method, mark, round(coalesce(max(n) FILTER (rep = '' AND n > 0), avg(n) FILTER (rep <> '' AND n > 0), 0.0), 6) AS n, round(coalesce(max(mean_len) FILTER (rep = '' AND n > 0), avg(mean_len) FILTER (rep <> '' AND n > 0), 0.0), 6) AS mean_len,
-    round(coalesce(max(mean_len) FILTER (rep = '' AND n > 0), avg(mean_len) FILTER (rep <> '' AND n > 0), 0.0), 6) AS median_len, CASE WHEN method = 'A' THEN 0.5 END AS jaccard FROM s GROUP BY 1, 2""")
+    round(coalesce(max(mean_len) FILTER (rep = '' AND n > 0), avg(mean_len) FILTER (rep <> '' AND n > 0), 0.0), 6) AS median_len, CASE WHEN method = 'A' THEN CAST(0.5 AS DOUBLE) END AS jaccard FROM s GROUP BY 1, 2""")
 def peak_table(spark, sf):
     rep = F.expr("case l_linenumber % 3 when 0 then '' when 1 then 'rep1' else 'rep2' end")
     t = V.table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("method"), F.col("l_linestatus").alias("mark"), rep.alias("rep"))
