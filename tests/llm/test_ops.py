@@ -378,6 +378,54 @@ def test_pu_classifier(spark):
     assert sum(g > b for g in good for b in bad) / (len(good) * len(bad)) > 0.97
 
 
+def test_pu_risk_against_plain_descent(spark, texts):
+    """Prior, clamped risk and scores of a small table, by plain NumPy and another way to the minimum."""
+    marked = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    rows = {r.doc_id: r for r in pu_quality.score(df, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
+    train = [i for i in texts if crc32(str(i).encode()) % 5]
+    x = {i: pu_quality.vector((t or "").encode()).astype(np.float32).astype(float) for i, t in texts.items()}
+    u = np.array([x[i] for i in train])
+    mean, sd = u.mean(0), np.sqrt(np.maximum((u * u).mean(0) - u.mean(0) ** 2, 0)) + 1e-6
+    z = lambda m: np.concatenate([np.clip((m - mean) / sd, -6, 6), np.ones((len(m), 1))], 1)
+    zu, zp = z(u), z(np.array([x[i] for i in train if marked.get(i) == 1]))
+    prior, ridge = rows[train[0]].class_prior, pu_quality.penalty(len(zp))
+    soft = lambda g: np.logaddexp(0, g)
+
+    def risk(w):
+        a, b = prior * soft(-zp @ w).mean(), soft(zu @ w).mean() - prior * soft(zp @ w).mean()
+        return a + max(0.0, b) + ridge * w @ w / 2
+
+    sig = lambda g: 1 / (1 + np.exp(-np.clip(g, -500, 500)))
+    # weights that the scores come from, by least squares on their logits
+    score = np.array([rows[i].score for i in train])
+    inside = (score > 1e-9) & (score < 1 - 1e-9)
+    w = np.linalg.lstsq(zu[inside], np.log(score[inside] / (1 - score[inside])), rcond=None)[0]
+    assert np.abs(sig(zu @ w) - score).max() < 1e-6
+    least = risk(w)
+    # the gradient of the arm in force, or a mix of both where they meet, vanishes; and no nearby or random step does better
+    rng = np.random.default_rng(2)
+    for size in (1e-3, 1e-2, 0.1, 1.0):
+        assert all(risk(w + size * rng.normal(size=len(w))) >= least - 2e-5 for _ in range(200))
+    a = prior * zp.T @ (sig(zp @ w) - 1) / len(zp) + ridge * w
+    b = zu.T @ sig(zu @ w) / len(zu) - prior * zp.T @ sig(zp @ w) / len(zp)
+    t = np.clip(-(a @ b) / (b @ b), 0, 1)
+    assert np.linalg.norm(a + t * b) < 2e-3
+    # the prior: least ratio of shares above a bin of the first model's score
+    w1 = np.zeros(len(w))
+    for _ in range(50):
+        sp, su = sig(zp @ w1), sig(zu @ w1)
+        grad = zp.T @ (sp - 1) / len(zp) + zu.T @ su / len(zu) + ridge * w1
+        hess = (zp * (sp * (1 - sp))[:, None]).T @ zp / len(zp) + (zu * (su * (1 - su))[:, None]).T @ zu / len(zu) + np.diag(ridge)
+        w1 -= np.linalg.solve(hess, grad)
+    su, sp = sig(zu @ w1), sig(zp @ w1)
+    edges = np.arange(pu_quality.BINS) / pu_quality.BINS
+    above = [((su >= e).mean(), (sp >= e).mean()) for e in edges]
+    slack = math.sqrt(math.log(2 * pu_quality.BINS) / 2) * (1 / math.sqrt(len(su)) + 1 / math.sqrt(len(sp)))
+    best = min((q for q in above if q[1] >= 0.1), key=lambda q: (q[0] + slack) / q[1])
+    assert prior == pytest.approx(min(max(best[0] / best[1], 0.01), 0.99), abs=0.03)
+
+
 def test_pu_edges(spark, odd, none):
     rows = pu_quality.score(odd, labels(spark)).collect()
     assert len(rows) == 10 and {r.score for r in rows} == {0.5}
