@@ -219,7 +219,8 @@ class Mix:
         at = placed.withColumn("inner", _before(["k", "bucket"], ["rank", "doc_id", "size", "rid"], "size")).join(starts, ["k", "bucket"])
         at = at.where("size > 0").select("k", "rid", "size", (F.col("start") + F.col("inner")).alias("at"))
         each = at.select("k", "rid", "at", "size", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))).alias("x"))
-        self.pieces = each.join(_slots(spark, slots, blocks, shard, seed), ["k", "x"]).select(
+        # both sides hold more than their plans' estimates say: they are joined by sorting, never broadcast
+        self.pieces = each.hint("merge").join(_slots(spark, slots, blocks, shard, seed).hint("merge"), ["k", "x"]).select(
             "rid", "k", "pass", "shard", "slot",
             F.greatest(F.col("x") * block - F.col("at"), F.lit(0)).alias("lo"), F.least((F.col("x") + 1) * block - F.col("at"), F.col("size")).alias("hi"),
         )
@@ -248,7 +249,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     n = F.col("hi") - F.col("lo")
     # a block is taken in the second pass only after all of its source's were in the first
     taken = mix_.pieces.groupBy("rid").agg(F.sum(n).alias("taken"), F.sum(F.when(F.col("pass") == 0, n).otherwise(0)).alias("once"))
-    return mix_.of_source(mix_.sized.join(taken, "rid", "left")).select(
+    return mix_.of_source(mix_.sized.join(taken.hint("merge"), "rid", "left")).select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("once", F.lit(0)).cast("long").alias("once"),
     )
 
@@ -268,7 +269,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of the first of its pieces."""
     mix_ = Mix(docs, id_col, text_col, source_col, *_options(**options), True)
     spans = mix_.pieces.groupBy("rid", "pass").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("spans"), F.min_by(F.struct("shard", "slot"), "lo").alias("first"))
-    rows = spans.join(mix_.sized, "rid").select("first.shard", "first.slot", "rid", "pass", "spans", "row", utf8("text").alias("t"))
+    rows = spans.hint("merge").join(mix_.sized.hint("merge"), "rid").select("first.shard", "first.slot", "rid", "pass", "spans", "row", utf8("text").alias("t"))
     names = [c for c in docs.columns if c != text_col]
     place = ["shard", "slot", "rid", "pass"]
     body = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(docs.schema.fields)])
