@@ -8,9 +8,10 @@ log(target / raw); every document that passes the base rules is kept if it is at
 Trusted documents are those that a label table marks, at most ``TRUSTED`` of them, chosen by a hash of their id; the raw
 counts and the scores cover every document and every n-gram. The broadcast model has ``BUCKETS`` numbers.
 
-A null text counts as empty: no words, which fails the base rules. Null ids are scored like others but are never trusted. Repeated
+A null text counts as empty: no words, which fails the base rules. Very long texts count with all their n-grams. A ratio equal to the threshold
+is kept. Null ids are scored like others but are never trusted. Repeated
 rows count as often as they occur. Without labels or documents the ratio is 0 for all. Extra columns are ignored, or passed on
-by ``keep``.
+by ``keep``, whatever their names.
 """
 
 from __future__ import annotations
@@ -93,11 +94,11 @@ def fails(n_words: int, n_repeat: int) -> bool:
     return n_words < 50 or 100 * n_repeat > 50 * n_words
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality") -> np.ndarray:
-    """log(target / raw) by bucket."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality", most: int = TRUSTED) -> np.ndarray:
+    """log(target / raw) by bucket. most: trusted documents at most."""
     spark = docs.sparkSession
     good = labels.where((F.col(label) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
-    trusted = np.array(sorted(r.id for r in good.orderBy(F.xxhash64("id"), "id").limit(TRUSTED).collect()), np.int64)
+    trusted = np.array(sorted(r.id for r in good.orderBy(F.xxhash64("id"), "id").limit(most).collect()), np.int64)
     sent = spark.sparkContext.broadcast(trusted)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,14 +158,16 @@ NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repea
 def keep(docs: DataFrame, model: np.ndarray, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The documents that are kept, with all their columns; one pass, no join."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # whatever the columns are called
+    text = plain.columns[docs.columns.index(text_col)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = sent.value
-        for b in slices(batches, text_col):
+        for b in slices(batches, text):
             good = []
-            for t in b.column(text_col).cast(pa.binary()).to_pylist():
+            for t in b.column(text).cast(pa.binary()).to_pylist():
                 words = Words(t or b"")
                 good.append(not fails(len(words.words), words.repeated()) and ratio(weights, words.hashes()) >= threshold)
             yield b.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)

@@ -41,7 +41,7 @@ class Scratch:
     def write(self, df: DataFrame) -> DataFrame:
         self._n += 1
         path = f"{self.dir}/t{self._n}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[id(out)] = out, path  # the frame too, so that no other gets its id
         return out
@@ -55,10 +55,17 @@ class Scratch:
             remove(self.spark, held[1])
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete all that this process has written and that results not yet read may still need: call it when they are done."""
-    while _MADE:
-        remove(spark, _MADE.pop())
+def made() -> list[str]:
+    """Folders that this process has made and not deleted."""
+    return list(_MADE)
+
+
+def clear(spark: SparkSession, folders: list[str] | None = None) -> None:
+    """Delete folders, or all that this process has made. Results that are not yet read may still need them: call it when they are done."""
+    for path in made() if folders is None else folders:
+        if path in _MADE:
+            _MADE.remove(path)
+            remove(spark, path)
 
 
 def _forget() -> None:
