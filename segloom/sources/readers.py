@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+if TYPE_CHECKING:
+    import pyarrow as pa
+
 
 def _place() -> Column:
     """Sorts rows by file name, then by place in the file, however a scan packs files and their parts into tasks."""
@@ -88,14 +93,49 @@ def on_chromosome(rows: DataFrame, chrom: str) -> DataFrame:
     return rows.where(F.col("chrom") == chrom)
 
 
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines (file, part, value) with their number in the part and, in a file's first part, its first two lines. A task reads the lines of a
+    part one after another."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    now, n, head = None, 0, [None, None]
+    for b in batches:
+        files, parts, values = b.columns
+        start = 0
+        while start < b.num_rows:
+            key = (files[start].as_py(), parts[start].as_py())
+            same = pc.and_(pc.equal(files, key[0]), pc.equal(parts, key[1])).to_numpy(zero_copy_only=False)[start:]
+            size = len(same) if same.all() else int(same.argmin())
+            if key != now:
+                now, n, head = key, 0, [None, None]
+            if key[1] == 0:
+                for k in range(n, min(n + size, 2)):
+                    head[k] = values[start + k - n].as_py()
+            whole = b.slice(start, size)
+            yield pa.RecordBatch.from_arrays(
+                [*whole.columns, pa.array(np.arange(n, n + size)), *(pa.array([x], pa.string()).take(pa.array(np.zeros(size, np.int64))) for x in head)],
+                ["file", "part", "value", "line", "head", "marks"],
+            )
+            start, n = start + size, n + size
+
+
 def read_binary(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """cell, chrom, bin, mark, v of binary matrices: a line 'cell<TAB>chrom', a line of marks, then one line a bin. A file is one
-    chromosome and is read whole. An empty file has no rows."""
-    whole = spark.read.text(path, wholetext=True).where(F.trim("value") != "")
-    rows = whole.select(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n").alias("l"))
-    head = rows.select(F.split(F.get("l", F.lit(0)), "\t").alias("h"), F.split(F.get("l", F.lit(1)), "\t").alias("marks"), F.slice("l", 3, F.greatest(F.size("l") - 2, F.lit(0))).alias("bins"))
-    named = head.select(F.get("h", F.lit(0)).alias("cell"), F.coalesce(F.get("h", F.lit(1)), F.lit("chrUnknown")).alias("chrom"), "marks", F.posexplode("bins").alias("bin", "line"))
-    each = named.select("cell", "chrom", F.col("bin").cast("long").alias("bin"), F.explode(F.arrays_zip("marks", F.split("line", "\t").alias("v"))).alias("x"))
+    chromosome; a task follows a gzip file, or a part of a plain one, line by line. An empty file has no rows, a blank line no values."""
+    text = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.rtrim("value", F.lit("\r")).alias("value"))
+    rows = text.mapInArrow(_numbered, "file string, part long, value string, line long, head string, marks string")
+    # lines before each further part of a plain file, and the file's first two lines; gzip files have no further parts
+    plain = ~F.col("file").endswith(".gz")
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = text.where(plain).groupBy("file", "part").agg(F.count("*").alias("n")).select("file", "part", before.alias("before")).where("part > 0")
+    first = rows.where(plain & (F.col("line") == 1) & (F.col("part") == 0)).select("file", F.col("head").alias("__head"), F.col("marks").alias("__marks"))
+    named = rows.join(F.broadcast(parts.join(first, "file")), ["file", "part"], "left").select(
+        F.split(F.coalesce("head", "__head"), "\t").alias("h"), F.split(F.coalesce("marks", "__marks"), "\t").alias("marks"), "value",
+        (F.when(F.col("part") == 0, F.lit(0)).otherwise(F.coalesce("before", F.raise_error(F.lit("the first lines of a part are unknown")).cast("long"))) + F.col("line") - 2).alias("bin"),
+    ).where("bin >= 0 and trim(value) <> ''")
+    each = named.select(F.get("h", F.lit(0)).alias("cell"), F.coalesce(F.get("h", F.lit(1)), F.lit("chrUnknown")).alias("chrom"), "bin", F.explode(F.arrays_zip("marks", F.split("value", "\t").alias("v"))).alias("x"))
     return each.select("cell", "chrom", "bin", F.col("x.marks").alias("mark"), F.col("x.v").cast("tinyint").alias("v"))
 
 

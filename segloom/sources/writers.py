@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import natural_key, natural_order
+from ..operators.intervals import BINS, guarded_sequence
 
 
 def write_bed(rows: DataFrame, path: str, order: DataFrame | None = None) -> None:
@@ -26,7 +27,9 @@ def write_bed(rows: DataFrame, path: str, order: DataFrame | None = None) -> Non
 def write_binary(bits: DataFrame, bins: DataFrame, marks: list[str], cell: str, path: str) -> None:
     """Gzipped binary matrices, a folder a chromosome, with their two header lines. bits: chrom, bin, mark; bins: chrom, n_bins."""
     ones = bits.groupBy("chrom", "bin").agg(F.collect_set("mark").alias("m"))
-    grid = bins.select("chrom", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_bins").cast("long") - 1)).alias("bin")).join(ones, ["chrom", "bin"], "left")
+    n = F.col("n_bins").cast("long")
+    blocks = bins.select("chrom", n.alias("n_bins"), F.explode(guarded_sequence(F.lit(0).cast("long"), F.expr(f"(cast(n_bins as long) - 1) div {BINS}"))).alias("b")).where("n_bins > 0").repartition("chrom", "b")
+    grid = blocks.select("chrom", F.explode(guarded_sequence(F.col("b") * BINS, F.least((F.col("b") + 1) * BINS, n) - 1)).alias("bin")).join(ones, ["chrom", "bin"], "left")
     has = [F.when(F.array_contains("m", m), "1").otherwise("0") for m in marks]
     body = grid.select("chrom", (F.col("bin") + 2).alias("ord"), F.concat_ws("\t", *has).alias("value"))
     head = bins.select("chrom", F.explode(F.array(F.struct(F.lit(0).cast("long").alias("ord"), F.concat_ws("\t", F.lit(cell), "chrom").alias("value")), F.struct(F.lit(1).cast("long").alias("ord"), F.lit("\t".join(marks)).alias("value")))).alias("x")).select("chrom", "x.*")

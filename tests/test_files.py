@@ -42,6 +42,29 @@ def test_binary_round_trip(spark, tmp_path):
     assert B.codes(got.where("v = 1"), ["A", "B"]).count() == 3
 
 
+def test_binary_matrices_are_followed_line_by_line(spark, tmp_path):
+    n = 3000
+    body = "".join(f"{k % 2}\t{int(k % 7 == 0)}\r\n" for k in range(n))
+    put(tmp_path / "p.txt", f"cell\tchr1\r\nA\tB\r\n{body}\n\n")
+    (tmp_path / "z.gz").write_bytes(gzip.compress(f"cell\tchr2\nA\tB\n{body}".encode()))
+    put(tmp_path / "e.txt", "")
+    want = {(c, k, m) for c in ("chr1", "chr2") for k in range(n) for m, one in (("A", k % 2 == 1), ("B", k % 7 == 0)) if one}
+    paths = [str(tmp_path / x) for x in ("p.txt", "z.gz", "e.txt")]
+    for size in ("128m", "4k", "100"):  # plain files in one part and in many
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            got = R.read_binary(spark, paths)
+            assert "wholetext" not in got._jdf.queryExecution().toString().lower()
+            rows = got.collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        assert len(rows) == 4 * n and {(r.chrom, r.bin, r.mark) for r in rows if r.v == 1} == want
+    empty = spark.createDataFrame([("chr1", 0), ("chr2", 70000)], "chrom string, n_bins long")
+    W.write_binary(spark.createDataFrame([("chr2", 69999, "A")], "chrom string, bin long, mark string"), empty, ["A"], "cell", str(tmp_path / "bin"))
+    again = R.read_binary(spark, str(tmp_path / "bin" / "*" / "*.gz"))
+    assert again.count() == 70000 and [(r.chrom, r.bin) for r in again.where("v = 1").collect()] == [("chr2", 69999)]
+
+
 def test_genes_and_expression(spark, tmp_path):
     g = put(tmp_path / "g.gtf", '#x\nchr1\th\tgene\t11\t20\t.\t-\t.\tgene_id "G1.2"; gene_name "ABC";\nchr1\th\texon\t11\t20\t.\t-\t.\tgene_id "G1.2";\n')
     r = R.read_genes(spark, g).first()
