@@ -166,18 +166,18 @@ class Lattices:
         far = (end[at[:plain]] - at[:plain]).astype(np.uint8)
         by_far = np.argsort(far, kind="stable")
         stops = np.searchsorted(far[by_far], np.arange(1, LONG + 2))
-        back, value, total_of = np.zeros(total + 1), np.empty(plain), np.empty(plain)
+        back, value = np.zeros(total + 1), np.empty(plain)
         here, follow = at[by_far], np.where(last[:plain], np.int32(total), to[:plain])[by_far]
         back[total], heavy = 1.0, weight[by_far]
-        for d in range(LONG):
-            e = slice(stops[d], stops[d + 1])
-            if e.start < e.stop:
-                value[e] = heavy[e] * back[follow[e]]
-                group = np.nonzero(np.diff(here[e], prepend=-1))[0]
-                back[here[e][group]] = np.add.reduceat(value[e], group)
-                total_of[e] = back[here[e]]
+        group = np.nonzero(np.concatenate([np.ones(min(plain, 1), bool), here[1:] != here[:-1]]))[0]  # where the edges of a place begin
+        place, parts = here[group], np.searchsorted(group, stops)
+        for lo, hi, g, h in zip(stops.tolist(), stops[1:].tolist(), parts.tolist(), parts[1:].tolist(), strict=False):
+            if lo < hi:
+                np.multiply(heavy[lo:hi], back.take(follow[lo:hi]), out=value[lo:hi])
+                back[place[g:h]] = np.add.reduceat(value[lo:hi], group[g:h] - lo)
         q = np.empty(len(at))
-        q[by_far] = value / total_of
+        value /= back.take(here)
+        q[by_far] = value
         for k in range(n_short, len(order)):  # few; sums are scaled as they would underflow
             lo, hi = first[offsets[k]], first[offsets[k] + sizes[k]]
             q[lo:hi] = np.exp(self._long(at[lo:hi] - offsets[k], to[lo:hi] - offsets[k], weight[lo:hi], int(sizes[k])))
@@ -234,23 +234,24 @@ class Lattices:
     def walk(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Edges of a random path from each node to its chunk's end (-1: none), one after another, and their counts."""
         live = np.nonzero(nodes >= 0)[0]
-        at, key, counts, steps = nodes[live], keys[live], np.zeros(len(nodes), np.int64), []
+        at, key, counts, steps = nodes.take(live), keys.take(live), np.zeros(len(nodes), np.int64), []
         while len(live):
             key = key + _STEP
-            u, e = uniform(key), self.a_first[at]
-            late = np.nonzero(u >= self.a_cum[e])[0]
+            u, e = uniform(key), self.a_first.take(at)
+            late = np.nonzero(u >= self.a_cum.take(e))[0]
             while len(late):
-                e[late] += 1
-                late = late[u[late] >= self.a_cum[e[late]]]
+                now = e.take(late) + np.int32(1)
+                e[late] = now
+                late = late.compress(u.take(late) >= self.a_cum.take(now))
             steps.append((live, e))
             counts[live] += 1
-            at = self.a_next[e]
-            on = at >= 0
-            live, at, key = live[on], at[on], key[on]
+            at = self.a_next.take(e)
+            on = np.nonzero(at >= 0)[0]
+            live, at, key = live.take(on), at.take(on), key.take(on)
         start = np.cumsum(counts) - counts
         flat = np.empty(int(counts.sum()), np.int32)
         for k, (i, e) in enumerate(steps):
-            flat[start[i] + k] = e
+            flat[start.take(i) + k] = e
         return flat, counts
 
 
@@ -280,9 +281,18 @@ def bounds(phi: np.ndarray, top: float | np.ndarray, u: np.ndarray) -> np.ndarra
     return np.where(np.isfinite(phi), np.minimum(out, top), -np.inf)
 
 
+def chunks_of(text: str) -> list[str]:
+    """The chunks of a text, whose spaces are written as U+2581."""
+    if not text:
+        return []
+    if SPACE in text or "  " in text or text[0] == " ":
+        return _CHUNKS.findall(SPACE + text.replace(" ", SPACE))
+    return list(filter(None, (SPACE + text.replace(" ", f" {SPACE}").replace("\n", " \n ")).split(" ")))
+
+
 def sample(texts: list[str], keys: list[int], lattices: Lattices, k: int) -> Iterator[tuple[list[Path], float]]:
     """Of each text, up to k distinct segmentations and the bound after the last (kappa)."""
-    chunks = [_CHUNKS.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+    chunks = [chunks_of(t) for t in texts]
     sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
     every = list(chain.from_iterable(chunks))
     number = {c: i for i, c in enumerate(dict.fromkeys(every))}
@@ -403,9 +413,13 @@ class Spelling:
 
     def decode(self, ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
         """Bytes of runs of pieces, which end at ``cuts``."""
-        size = self.size[ids]
+        size = self.size.take(ids)
         ends = np.cumsum(size)
-        data = self.flat[np.repeat(self.start[ids] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)].tobytes()
+        total = int(ends[-1]) if len(ends) else 0
+        kind = np.int32 if total < 1 << 30 else np.int64
+        where = np.repeat((self.start.take(ids) - (ends - size)).astype(kind), size)
+        where += np.arange(total, dtype=kind)
+        data = self.flat.take(where).tobytes()
         at = np.concatenate([[0], ends])[np.concatenate([[0], cuts])].tolist()
         return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -955,3 +956,12 @@ def test_pipeline_edges(spark, odd, none, tmp_path):
                 assert sorted(i for i in ids if i is not None) == [21, 23] and set(ids) <= {None, 21, 23}
         out = cp.STAGES[-1][1](spark, kept, sf).collect()
         assert len(out) == kept.count() and all(r.decoded for r in out) and (name == "full") == bool(out)
+
+
+def test_chunks_of_plain_texts_equal_the_pattern():
+    space = segmentation.SPACE
+    draw = random.Random(3)
+    texts = ["", " ", "\n", "a", "a ", " a", "a  b", "\na", "a\n", "a \n b", "\n\n", "a\n\n b", f"a{space}b", f"a {space}b", "a\tb\r\nc\x00d", "\x1c\u2028\u00a0x y"]
+    texts += ["".join(draw.choices(f"ab  \n\t{space}é\u3000", k=draw.randint(1, 12))) for _ in range(3000)]
+    for t in texts:
+        assert segmentation.chunks_of(t) == (segmentation._CHUNKS.findall(space + t.replace(" ", space)) if t else []), t
