@@ -20,8 +20,9 @@ Null, empty and wordless texts have fingerprint zero and link like any other; ve
 fingerprints each get their row, with the component they share. Extra columns are ignored or, by ``keep_first``, passed on, whatever their
 names; an empty table gives an empty result.
 
-The pipeline's stage (``keep_first``) asks for a similarity of the shingle sets instead, at which 64-bit fingerprints differ in too many
-bits for a search by distance: see ``similar_groups``.
+The pipeline's stage (``keep_first``) asks for a similarity of the sets of five-word shingles. At Jaccard 0.8 a SimHash bit differs with
+probability 0.15, so it takes longer fingerprints and more trees, one a piece of their bits, and checks what they find by all shingles: see
+``similar_groups``.
 """
 
 from __future__ import annotations
@@ -48,12 +49,17 @@ SHARD = 4096
 BLOCK = 256
 FULL = 0xFFFFFFFFFFFFFFFF
 _STEP = 1 << 17
-#: Bands of min-hashes that candidates of the pipeline's stage share one of, and min-hashes in a band.
-BANDS, ROWS = 28, 6
+#: The pipeline's stage: fingerprints that a shard should hold at most, the greatest share of bits in which texts of the asked similarity
+#: mostly differ, and the share of them that all trees may miss.
+WIDE_SHARD, DIFFER, MISS = 2048, 0.1515, 1e-4
+#: Words of a fingerprint that shards compare, and the differing bits at which two link: of the first word, of all of these.
+FRONT, NEAR = 3, (22, 50)
+#: A shard of more fingerprints first looks for vantage points that many of them are near to.
+CROWD = 4 * WIDE_SHARD
 #: Bytes of candidate texts that are compared in one task.
 LIMIT = 8 << 20
 SLACK = 1e-9
-_FACTORS = np.random.default_rng(5).integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+_GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def simhash(text: bytes, width: int = 3) -> int:
@@ -236,13 +242,130 @@ def shingles(text: bytes, width: int = 5) -> np.ndarray:
     return np.unique(np.fromiter(map(xxh64_intdigest, grams, repeat(42)), np.uint64, len(words) - width + 1))
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A key for each of ``BANDS`` bands of ``ROWS`` min-hashes, as signed longs."""
-    low = np.full(len(_FACTORS), FULL, np.uint64)
-    for at in range(0, len(hashes), 1024):
-        np.minimum(low, (hashes[at : at + 1024, None] * _FACTORS).min(0), out=low)
-    each = low.reshape(BANDS, ROWS)
-    return np.array([xxh64_intdigest(each[k].tobytes(), k) for k in range(BANDS)], np.uint64).view(np.int64).tolist()
+def wide_simhash(hashes: np.ndarray, words: int) -> np.ndarray:
+    """SimHash of 64 bits a word of a set of shingles: the first word from their XXH64, each further one from another hash of that."""
+    total = np.zeros(64 * words, np.int64)
+    for at in range(0, len(hashes), 255):  # counts up to 255 fit a byte, eight of which are summed as one number
+        x = hashes[at : at + 255, None] + _GOLDEN * np.arange(words, dtype=np.uint64)
+        rest = x[:, 1:]
+        rest = (rest ^ (rest >> np.uint64(30))) * _MIX1
+        rest = (rest ^ (rest >> np.uint64(27))) * _MIX2
+        x[:, 1:] = rest ^ (rest >> np.uint64(31))
+        total += np.unpackbits(x.view(np.uint8), axis=1, bitorder="little").view(np.uint64).sum(0).view(np.uint8)
+    return np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)
+
+
+def forest(count: int) -> tuple[int, int, int]:
+    """Bits of a piece, pieces (each has its tree) and words of the fingerprints, for so many fingerprints. Two that differ in a share
+    ``DIFFER`` of their bits agree in one of the pieces at least, except for ``MISS`` of them."""
+    bits = max(0, (max(count, 1) - 1) // WIDE_SHARD).bit_length()
+    trees = max(1, int(np.ceil(np.log(MISS) / np.log1p(-((1 - DIFFER) ** bits))))) if bits else 1
+    return bits, trees, max(FRONT, -(-bits * trees // 64))
+
+
+def piece(points: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """Bits k * bits and on of fingerprints, which are rows of words."""
+    if not bits:
+        return np.zeros(len(points), np.uint64)
+    word, shift = divmod(k * bits, 64)
+    value = points[:, word] >> np.uint64(shift)
+    if shift + bits > 64:
+        value = value | (points[:, word + 1] << np.uint64(64 - shift))
+    return value & np.uint64((1 << bits) - 1)
+
+
+class Shards:
+    """A vantage-point tree over pieces of ``bits`` bits, walked once for each value that a piece can have: the shard that stores the value
+    and those that its ball of the search radius overlaps besides."""
+
+    def __init__(self, sample: np.ndarray, bits: int, radius: int, leaf: int):
+        values = np.arange(1 << bits, dtype=np.uint64)
+        self.stored, asks = np.zeros(1 << bits, np.int64), []
+        for shard, at, own in route(grow(sample, [((1 << bits) - 1, radius)], leaf), values):
+            if own:
+                self.stored[at] = shard
+            else:
+                asks.append((at, np.full(len(at), shard)))
+        value = np.concatenate([x for x, _ in asks]) if asks else np.empty(0, np.int64)
+        order = np.argsort(value, kind="stable")
+        self.asked = np.concatenate([x for _, x in asks])[order] if asks else value
+        self.many = np.bincount(value, minlength=1 << bits)
+        self.first = np.cumsum(self.many) - self.many
+
+    def send(self, values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+        """(shards, indices of values, stored there or asking there)."""
+        yield self.stored[values], np.arange(len(values)), True
+        n = self.many[values]
+        if n.any():
+            where = np.repeat(self.first[values] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            yield self.asked[where], np.repeat(np.arange(len(values)), n), False
+
+
+def close_pairs(points: np.ndarray, some: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of ``some`` and of ``others`` that are within ``NEAR``, pair by pair."""
+    first = np.ascontiguousarray(points[:, 0])
+    i, j = np.nonzero(np.bitwise_count(first[some][:, None] ^ first[others][None, :]) <= NEAR[0])
+    i, j = some[i], others[j]
+    near = np.bitwise_count(points[i] ^ points[j]).sum(1, dtype=np.int16) <= NEAR[1]
+    return i[near], j[near]
+
+
+def link_prints(points: np.ndarray, own: np.ndarray, asks: np.ndarray, groups: Groups, crowd: int = CROWD) -> None:
+    """Unite what is within ``NEAR``: stored fingerprints with each other and with the asking ones. In a crowd, what is near to a vantage point
+    is one group and leaves, compared with all others but not within itself."""
+    while len(own) > crowd:
+        vantage = own[:: -(-len(own) // 8)]
+        near, p = max(((close_pairs(points, v, own)[1], v) for v in vantage.reshape(-1, 1)), key=lambda x: len(x[0]))
+        if 16 * len(near) < len(own):
+            break
+        groups.union(near, np.full(len(near), p[0]))
+        own = np.setdiff1d(own, near)
+        others = np.concatenate([own, asks])
+        for at in range(0, len(near), BLOCK):
+            others = others[groups.find(others) != groups.find(p)]
+            for to in range(0, len(others), 1 << 13):
+                groups.union(*close_pairs(points, near[at : at + BLOCK], others[to : to + (1 << 13)]))
+    both = np.concatenate([own, asks])
+    for at in range(0, len(own), BLOCK):
+        for to in range(at, len(both), 1 << 13):
+            groups.union(*close_pairs(points, own[at : at + BLOCK], both[to : to + (1 << 13)]))
+
+
+def near_prints(nodes: DataFrame, count: int, bits: int, trees: int, radius: int) -> DataFrame:
+    """a, b: links of fingerprints, nodes being rid, fp (distinct): a star for each group that a shard finds."""
+    most = min(max(LEAST, count // SPARSE), 4 * LEAST)
+    chosen = nodes.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(most) if count > most else nodes.select("fp")
+    sample = _words([r.fp for r in chosen.collect()]) if bits else np.empty((0, 1), np.uint64)
+    leaf = max(4, WIDE_SHARD * len(sample) // max(count, 1))
+    grown = [Shards(np.random.default_rng(7).permutation(np.sort(piece(sample, k, bits))), bits, radius, leaf) for k in range(trees)]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            points, rids = _words(b.column("fp").to_pylist()), b.column("rid").to_numpy()
+            front = [points[:, w].view(np.int64) for w in range(FRONT)]
+            for k, tree in enumerate(grown):
+                for shard, at, stored in tree.send(piece(points, k, bits)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(shard * trees + k), pa.array(rids[at]), pa.array(np.full(len(at), stored)), *(pa.array(f[at]) for f in front)],
+                        ["shard", "rid", "stored", *(f"w{w}" for w in range(FRONT))],
+                    )
+
+    def meet(table: pa.Table) -> pa.Table:
+        points = np.stack([table.column(f"w{w}").to_numpy().view(np.uint64) for w in range(FRONT)], 1)
+        rids, stored = table.column("rid").to_numpy(), table.column("stored").to_numpy()
+        groups, every = Groups(len(rids)), np.arange(len(rids))
+        link_prints(points, every[stored], every[~stored], groups)
+        root = groups.find(every)
+        at = root != every
+        return pa.table({"a": rids[at], "b": rids[root[at]]})
+
+    shards = nodes.select("rid", "fp").mapInArrow(send, "shard long, rid long, stored boolean, " + ", ".join(f"w{w} long" for w in range(FRONT)))
+    return shards.groupBy("shard").applyInArrow(meet, "a long, b long")
+
+
+def _words(prints: list[bytes]) -> np.ndarray:
+    """Fingerprints as rows of words."""
+    return np.frombuffer(b"".join(prints), "<u8").reshape(len(prints), -1) if prints else np.empty((0, FRONT), np.uint64)
 
 
 class Index:
@@ -329,22 +452,25 @@ class Similar:
 
     Groups of up to ``limit`` bytes are compared in one task each. A larger one is split by vantage points, one a round: what is within the
     similarity of it is one component and leaves; what is between it and twice the distance is compared with that, slice by slice;
-    what is left, the texts between included, goes on as the groups that its bands still hold together. What ``rounds`` rounds leave larger than
+    what is left, the texts between included, goes on as the groups that its fingerprints still hold together. What ``rounds`` rounds leave larger than
     ``limit`` is compared block by block, so no pair is lost and no task holds more than two slices."""
 
-    def __init__(self, rows: DataFrame, keys: DataFrame, scratch: Scratch, width: int, similarity: float, limit: int, rounds: int):
-        self.rows, self.keys, self.scratch, self.width, self.similarity, self.limit, self.rounds = rows, keys, scratch, width, similarity, limit, rounds
+    def __init__(self, rows: DataFrame, prints: DataFrame, scratch: Scratch, width: int, similarity: float, limit: int, rounds: int, forest: tuple[int, int], radius: int):
+        self.rows, self.prints, self.scratch, self.width, self.similarity, self.limit, self.rounds = rows, prints, scratch, width, similarity, limit, rounds
+        self.forest, self.radius = forest, radius
         self.texts = rows.select("rid", "t")
 
-    def candidates(self, keys: DataFrame) -> DataFrame:
-        """rid, root, written: rows that a chain of shared bands holds together, of keys (rid, keys)."""
-        banded = keys.select("rid", F.explode("keys").alias("key"))
-        found = components(banded.join(_star(banded, "key"), "key").select(F.col("rid").alias("a"), "b"), self.scratch)
+    def candidates(self, prints: DataFrame) -> DataFrame:
+        """rid, root, written: rows that a chain of near fingerprints holds together, of prints (rid, fp)."""
+        nodes = self.scratch.write(prints.groupBy("fp").agg(F.min("rid").alias("rid")))
+        links = near_prints(nodes, nodes.count(), *self.forest, self.radius)
+        same = prints.join(_star(prints, "fp"), "fp").select(F.col("rid").alias("a"), "b")
+        found = components(links.unionByName(same), self.scratch)
         return self.scratch.write(found.select(F.col("node").alias("rid"), "root"))
 
     def sizes(self, groups: DataFrame) -> DataFrame:
         """root, n_slices, written, of the groups that are larger than the limit."""
-        weights = self.keys.select("rid", "n").join(groups, "rid").groupBy("root").agg(F.sum("n").alias("n"))
+        weights = self.prints.select("rid", "n").join(groups, "rid").groupBy("root").agg(F.sum("n").alias("n"))
         return self.scratch.write(weights.where(F.col("n") > self.limit).select("root", F.ceil(F.col("n") / self.limit).alias("n_slices")))
 
     def small(self, groups: DataFrame, large: DataFrame) -> DataFrame:
@@ -360,9 +486,11 @@ class Similar:
         return rows.repartition("root").sortWithinPartitions("root").mapInArrow(meet, "a long, b long")
 
     def distances(self, groups: DataFrame) -> DataFrame:
-        """root, rid, pivot, s, written: similarity of every row of a group to the group's vantage point, the first row of its largest band."""
+        """root, rid, pivot, s, written: similarity of every row of a group to the group's vantage point, the first of the most rows that agree in
+        16 bits at one place of the fingerprint."""
         width = self.width
-        banded = self.keys.select("rid", F.explode("keys").alias("key")).join(groups, "rid")
+        places = F.array(*(F.struct(F.lit(k).alias("k"), F.substring("fp", 2 * k + 1, 2).alias("v")) for k in range(4 * FRONT)))
+        banded = self.prints.select("rid", F.explode(places).alias("key")).join(groups, "rid")
         bands = banded.groupBy("root", "key").agg(F.count("*").alias("n"), F.min("rid").alias("rid"))
         pivots = bands.groupBy("root").agg(F.max_by("rid", F.struct("n", F.col("rid"))).alias("pivot"))
         points = self.scratch.write(pivots.join(self.texts.toDF("pivot", "p"), "pivot"))
@@ -386,7 +514,7 @@ class Similar:
         every = F.sequence(F.lit(0).cast("long"), F.col("n_slices") - 1)
         cut = lambda rows: rows.join(slices_of, "root").withColumn("own", F.pmod(one, F.col("n_slices")))
         # asking rows come in slices of their own number, which mostly is one
-        weights = asks.join(self.keys.select("rid", "n"), "rid").groupBy("root").agg(F.ceil(F.sum("n") / self.limit).alias("n_asks"))
+        weights = asks.join(self.prints.select("rid", "n"), "rid").groupBy("root").agg(F.ceil(F.sum("n") / self.limit).alias("n_asks"))
         left = cut(near).join(weights, "root").select("root", "rid", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_asks") - 1)).alias("other"), F.lit(0).alias("side"))
         right = cut(asks).join(weights, "root").select("root", "rid", F.explode(every).alias("own"), F.pmod(one, F.col("n_asks")).alias("other"), F.lit(1).alias("side"))
         rows = left.unionByName(right).join(self.texts, "rid")
@@ -412,7 +540,7 @@ class Similar:
         return rows.repartition("root", "own", "other").sortWithinPartitions("root", "own", "other").mapInArrow(meet, "a long, b long")
 
     def links(self) -> DataFrame:
-        groups = self.candidates(self.keys)
+        groups = self.candidates(self.prints)
         large = self.sizes(groups)
         found = [self.small(groups, large)]
         for _ in range(self.rounds):
@@ -424,7 +552,7 @@ class Similar:
             found.append(far.where(is_near & (F.col("rid") != F.col("pivot"))).select(F.col("rid").alias("a"), F.col("pivot").alias("b")))
             found.append(self.across(far.where(is_near).select("root", "rid"), far.where(between).select("root", "rid"), large))
             left = far.where(~is_near & (F.col("rid") != F.col("pivot"))).select("rid")
-            groups = self.candidates(self.keys.join(left, "rid", "left_semi"))
+            groups = self.candidates(self.prints.join(left, "rid", "left_semi"))
             large = self.sizes(groups)
             found.append(self.small(groups, large))
         found.append(self.blocks(groups.join(large, "root", "left_semi"), large))
@@ -440,39 +568,44 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _similar(rows: DataFrame, scratch: Scratch, width: int, similarity: float, limit: int, rounds: int) -> DataFrame:
+def _similar(rows: DataFrame, scratch: Scratch, width: int, similarity: float, limit: int, rounds: int, radius: int) -> DataFrame:
     """rows: rid, doc_id, t, written -> rid, doc_id, component_id of those that have links."""
+    bits, trees, words = forest(rows.count())
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "t"):
             texts = b.column("t").to_pylist()
-            keys = pa.array([band_keys(shingles(t, width)) for t in texts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array([len(t) for t in texts], pa.int64()), keys], ["rid", "n", "keys"])
+            prints = pa.array([wide_simhash(shingles(t, width), words).tobytes() for t in texts], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array([len(t) for t in texts], pa.int64()), prints], ["rid", "n", "fp"])
 
-    keys = scratch.write(rows.select("rid", "t").mapInArrow(sketch, "rid long, n long, keys array<long>"))
+    prints = scratch.write(rows.select("rid", "t").mapInArrow(sketch, "rid long, n long, fp binary"))
     named = rows.where("doc_id is not null").select("rid", "doc_id")
     same = named.join(_star(named, "doc_id"), "doc_id").select(F.col("rid").alias("a"), "b")
-    roots = components(Similar(rows, keys, scratch, width, similarity, limit, rounds).links().unionByName(same), scratch)
+    roots = components(Similar(rows, prints, scratch, width, similarity, limit, rounds, (bits, trees), radius).links().unionByName(same), scratch)
     found = scratch.write(rows.select("rid", "doc_id").join(roots, F.col("rid") == F.col("node")).select("rid", "doc_id", "root"))
     return found.join(found.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("rid", "doc_id", "component_id")
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, limit: int = LIMIT, rounds: int = 16) -> DataFrame:
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, limit: int = LIMIT, rounds: int = 16, radius: int = 0) -> DataFrame:
     """rid, doc_id, component_id of the rows that a chain of pairs of at least ``similarity`` links to others; rows of one id
     are linked. component_id is the smallest id of the chain.
 
-    Candidates share a band of min-hashes, which a pair of similarity s does with probability 1 - (1 - s^ROWS)^BANDS: 0.9998 at
-    0.8, more above. The texts that a chain of candidates holds together are then compared by all their shingles (see ``Similar``)."""
+    Candidates come from vantage-point trees over the texts' SimHash fingerprints. As ``near_groups`` has a tree for each half of the bits, here each
+    of disjoint pieces has one (``forest``: 25 pieces of 7 bits for 200,000 texts, 74 of 13 for 10^7), and two fingerprints that agree in a piece
+    share the shard of its tree, in which they are compared by whole words (``NEAR``). A pair at 0.8 is found with probability 0.9998, by
+    formula (texts of 4 and 5 shingles: 0.99), more above. ``radius`` is the trees' search radius; with more than 0 the shards
+    overlap, by the triangle bound, at the cost of more copies than further trees have. The texts that a chain of candidates holds together
+    are then compared by all their shingles (see ``Similar``)."""
     scratch = Scratch(docs.sparkSession, "similar")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(quoted(id_col)).cast("long").alias("doc_id"), utf8(quoted(text_col)).alias("t"))
-    return _similar(scratch.write(rows), scratch, width, similarity, limit, rounds)
+    return _similar(scratch.write(rows), scratch, width, similarity, limit, rounds, radius)
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, limit: int = LIMIT, rounds: int = 16) -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8, limit: int = LIMIT, rounds: int = 16, radius: int = 0) -> DataFrame:
     """The document with the smallest id of each group of ``similar_groups``, with all its columns. Rows of one id count as one
     document; a row with a null id cannot be told from others of its kind and stays."""
     scratch = Scratch(docs.sparkSession, "similar")
     rows = scratch.write(numbered(docs))
     plain = rows.select("rid", F.col(f"row.{quoted(id_col)}").cast("long").alias("doc_id"), utf8(f"row.{quoted(text_col)}").alias("t"))
-    gone = scratch.write(_similar(plain, scratch, width, similarity, limit, rounds).where("doc_id <> component_id").select("rid"))
+    gone = scratch.write(_similar(plain, scratch, width, similarity, limit, rounds, radius).where("doc_id <> component_id").select("rid"))
     return rows.join(gone, "rid", "left_anti").select("row.*")

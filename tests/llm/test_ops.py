@@ -158,6 +158,89 @@ def test_near_stage_against_brute_force_similarity(spark, texts):
     assert {r.doc_id for r in near_dedup.keep_first(df, limit=3000, rounds=1).collect()} == want
 
 
+def similar_sets(rng, n, share=0.8):
+    """n pairs of sets of 120 to 400 hashes, of Jaccard similarity just over ``share``."""
+    for size in rng.integers(120, 400, n):
+        own = int(size * (1 - share) / (1 + share))
+        h = rng.integers(0, 1 << 63, int(size) + own, dtype=np.uint64)
+        yield h[:size], h[own:]
+
+
+def test_near_stage_takes_candidates_from_trees_over_fingerprints(spark, monkeypatch):
+    rng, grown = np.random.default_rng(4), []
+    shards = near_dedup.Shards
+    monkeypatch.setattr(near_dedup, "Shards", lambda *args: grown.append(shards(*args)) or grown[-1])
+    monkeypatch.setattr(near_dedup, "WIDE_SHARD", 20)
+    texts = {}
+    for i in range(100):
+        base = [f"w{x}" for x in rng.integers(0, 10**6, rng.integers(60, 200))]
+        texts[2 * i] = " ".join(base)
+        for k in rng.integers(0, len(base), 1 + i % 3):
+            base[k] = f"v{rng.integers(0, 10**6)}"
+        texts[2 * i + 1] = " ".join(base)
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in texts.items()], DOC)
+    want = set(union_find(jaccard_pairs(texts), texts).values())
+    bits, trees, _ = near_dedup.forest(len(texts))
+    for radius in (0, 1):
+        grown.clear()
+        assert {r.doc_id for r in near_dedup.keep_first(df, radius=radius).collect()} == want and len(want) < 150
+        assert len(grown) == trees > 8 and bits > 2
+        assert all(len(set(tree.stored.tolist())) > 4 and bool(tree.many.sum()) == (radius > 0) for tree in grown)
+
+
+def test_wide_fingerprints_and_their_trees():
+    rng = np.random.default_rng(5)
+    for n in (1, 4, 255, 256, 700):  # by the definition, bit by bit
+        h = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        got = near_dedup.wide_simhash(h, 3)
+        assert int(got[0]) == sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h) > n)
+        assert len(set(got.tolist())) == 3
+    for count in (1, 40_000, 200_000, 11_000_000):
+        bits, trees, words = near_dedup.forest(count)
+        pairs = [[near_dedup.wide_simhash(x, words) for x in p] for p in similar_sets(rng, 1500)]
+        a, b = (np.array(x) for x in zip(*pairs, strict=True))
+        both = np.concatenate([a, b])
+        i, j = near_dedup.close_pairs(both, np.arange(1500), np.arange(1500, 3000)) if count == 1 else (np.arange(1500), np.arange(1500) + 1500)
+        assert (j - i == 1500).sum() >= 1498 and (j - i != 1500).sum() == 0
+        met = np.zeros(1500, bool)
+        for k in range(trees):
+            x = near_dedup.piece(both, k, bits)
+            want = [sum(int(w) << 64 * m for m, w in enumerate(f)) >> k * bits & (1 << bits) - 1 for f in both[:5]]
+            assert x[:5].tolist() == want
+            tree = near_dedup.Shards(rng.integers(0, 1 << bits, 1 << 13, dtype=np.uint64), bits, 0, 4)
+            shard = tree.stored[x]
+            met |= shard[:1500] == shard[1500:]
+        assert met.sum() >= 1497
+
+
+def test_overlapping_shards_lose_no_pair_within_the_radius():
+    rng = np.random.default_rng(6)
+    for radius in (1, 2):
+        tree = near_dedup.Shards(rng.integers(0, 1 << 10, 4000, dtype=np.uint64), 10, radius, 8)
+        sees = [{int(tree.stored[v])} | set(tree.asked[tree.first[v] : tree.first[v] + tree.many[v]].tolist()) for v in range(1 << 10)]
+        assert len(set(tree.stored.tolist())) > 50
+        for v in range(1 << 10):
+            for w in range(v):
+                if (v ^ w).bit_count() <= radius:
+                    assert tree.stored[v] in sees[w] or tree.stored[w] in sees[v]
+
+
+def test_crowds_are_linked_like_all_pairs():
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 1 << 63, (40, 3), dtype=np.uint64)
+    points = base[np.concatenate([np.zeros(600, int), rng.integers(0, 40, 400)])]
+    for _ in range(20):
+        points = points ^ (np.uint64(1) << rng.integers(0, 64, points.shape).astype(np.uint64)) * (rng.random(points.shape) < 0.4)
+    every = np.arange(len(points))
+    own, asks = every[every % 5 > 0], every[every % 5 == 0]
+    found = []
+    for crowd in (50, 10**6):
+        groups = near_dedup.Groups(len(points))
+        near_dedup.link_prints(points, own, asks, groups, crowd)
+        found.append(groups.find(every))
+    assert (found[0] == found[1]).all() and 30 < len(set(found[0].tolist())) < 900
+
+
 def test_near_stage_edges(odd, none):
     rows = near_dedup.keep_first(odd).collect()
     assert sorted(r.doc_id for r in rows if r.doc_id is not None) == [1, 3, 3, 4, 7] and sum(r.doc_id is None for r in rows) == 2
