@@ -97,6 +97,9 @@ class Pieces:
             while self.keys[slot] >= 0:
                 slot = (slot + 1) & ((1 << BITS) - 1)
             self.keys[slot], self.to[slot] = key, k
+        #: state after the first character, 0 where no piece begins so
+        self.start_of = np.zeros(len(chars) + 1, np.int32)
+        self.start_of[[self.char_of[ord(p)] for p in self.trie if len(p) == 1]] = [state[p] for p in self.trie if len(p) == 1]
         self.piece_of = np.array([-1, *self.trie.values()], np.int32)
         self.size, self.alpha, self._weights = n, alpha, np.empty(0)
         self.spelled: list[list[int]] = [[i] for i in range(n)]
@@ -158,12 +161,14 @@ class Lattices:
         cp = np.frombuffer("".join(chunks).encode("utf-32-le"), np.uint32)
         end = np.repeat((offsets + sizes).astype(np.int32), sizes)
         first, at, to, piece = self._edges(cp, end)
-        weight = self.vocab.weights()[piece]
-        last = to == end[at]
+        weight = self.vocab.weights().take(piece)
+        far = end.take(at)
+        last = to == far
+        far -= at
         self.a_first, self.a_piece, self.a_next = first, piece, np.where(last, np.int32(-1), to)
         # backward sums of the paths to the chunk's end, by distance from it
         plain = int(first[offsets[n_short]]) if n_short < len(order) else len(at)
-        far = (end[at[:plain]] - at[:plain]).astype(np.uint8)
+        far = far[:plain].astype(np.uint8)
         by_far = np.argsort(far, kind="stable")
         stops = np.searchsorted(far[by_far], np.arange(1, LONG + 2))
         back, value = np.zeros(total + 1), np.empty(plain)
@@ -182,8 +187,8 @@ class Lattices:
             lo, hi = first[offsets[k]], first[offsets[k] + sizes[k]]
             q[lo:hi] = np.exp(self._long(at[lo:hi] - offsets[k], to[lo:hi] - offsets[k], weight[lo:hi], int(sizes[k])))
         upto = np.cumsum(q)
-        head = first[at]
-        self.a_cum = upto - (upto[head] - q[head])
+        head = first[:-1]
+        self.a_cum = upto - (upto.take(head) - q.take(head)).take(at)
         self.a_cum[first[1:] - 1] = 2.0
         self.a_logq = np.log(np.maximum(q, 1e-300))
         start = np.empty(len(chunks), np.int64)
@@ -195,14 +200,19 @@ class Lattices:
         the likeliest mostly is."""
         v, places = self.vocab, np.arange(len(cp), dtype=np.int32)
         char, end = v.char_of[cp], end.astype(np.int32)
-        live, state, found, n = places, np.zeros(len(cp), np.int32), [], 0
+        live, found, n = places, [], 0
         counts = np.zeros(len(cp), np.int32)
         while len(live):
             if n:
                 on = live + np.int32(n) < end[live]
                 live, state = live[on], state[on]
-            hit, state = v.follow((state << np.int32(CHAR)) | char[live + np.int32(n)])
-            live, n = live[hit], n + 1
+                hit, state = v.follow((state << np.int32(CHAR)) | char[live + np.int32(n)])
+                live = live[hit]
+            else:
+                state = v.start_of.take(char)
+                live = np.nonzero(state)[0].astype(np.int32)
+                state = state.take(live)
+            n += 1
             piece = v.piece_of[state]
             is_piece = piece >= 0
             found.append((live[is_piece], n, piece[is_piece]))
@@ -294,9 +304,9 @@ def sample(texts: list[str], keys: list[int], lattices: Lattices, k: int) -> Ite
     """Of each text, up to k distinct segmentations and the bound after the last (kappa)."""
     chunks = [chunks_of(t) for t in texts]
     sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
-    every = list(chain.from_iterable(chunks))
-    number = {c: i for i, c in enumerate(dict.fromkeys(every))}
-    starts = lattices.build(list(number))[np.fromiter(map(number.__getitem__, every), np.int64, len(every))]
+    number: dict[str, int] = {}
+    which = np.array([number.setdefault(c, len(number)) for c in chain.from_iterable(chunks)], np.int64)
+    starts = lattices.build(list(number))[which]
     key = np.array(keys, np.int64).view(np.uint64)
     ends = np.cumsum(sizes)
     began = ends - sizes
@@ -403,24 +413,19 @@ def _other(lat: Lattices, node: int, barred: tuple[int, ...], u: float) -> int:
 
 
 class Spelling:
-    """What pieces stand for, as one array of bytes."""
+    """What pieces stand for, as one array."""
 
     def __init__(self, vocab: Pieces):
         self.n = len(vocab.bytes)
-        self.flat = np.frombuffer(b"".join(vocab.bytes), np.uint8)
-        self.size = np.fromiter(map(len, vocab.bytes), np.int64, self.n)
-        self.start = np.cumsum(self.size) - self.size
+        self.of = pa.array(vocab.bytes, pa.large_binary())
 
     def decode(self, ids: np.ndarray, cuts: np.ndarray) -> list[bytes]:
         """Bytes of runs of pieces, which end at ``cuts``."""
-        size = self.size.take(ids)
-        ends = np.cumsum(size)
-        total = int(ends[-1]) if len(ends) else 0
-        kind = np.int32 if total < 1 << 30 else np.int64
-        where = np.repeat((self.start.take(ids) - (ends - size)).astype(kind), size)
-        where += np.arange(total, dtype=kind)
-        data = self.flat.take(where).tobytes()
-        at = np.concatenate([[0], ends])[np.concatenate([[0], cuts])].tolist()
+        if not len(ids):
+            return [b""] * len(cuts)
+        _, ends, data = self.of.take(pa.array(ids)).buffers()
+        at = np.frombuffer(ends, np.int64)[np.concatenate([[0], cuts])].tolist()
+        data = data.to_pybytes() if data is not None else b""
         return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 

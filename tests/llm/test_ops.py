@@ -679,6 +679,16 @@ def test_sample_frequencies():
         assert abs(second[s] / n - want) < 5 * math.sqrt(max(want * (1 - want), 1e-6) / n) + 2e-3
 
 
+def test_first_characters_and_runs_of_pieces():
+    vocab = segmentation.pieces(segmentation.MODEL, 1.0)
+    number = np.arange(len(vocab.start_of), dtype=np.int32)
+    hit, state = vocab.follow(number)  # from the empty prefix
+    assert vocab.start_of[0] == 0 and (vocab.start_of > 0).tolist() == hit.tolist() and vocab.start_of[hit].tolist() == state.tolist()
+    spelling, ids, cuts = segmentation.Spelling(vocab), [0, 5, 300, 31_000, 7, 7], [0, 2, 2, 6]
+    assert spelling.decode(np.array(ids), np.array(cuts)) == [b"".join(vocab.bytes[i] for i in ids[a:b]) for a, b in zip([0, *cuts], cuts, strict=False)]
+    assert spelling.decode(np.empty(0, np.int32), np.zeros(3, np.int64)) == [b""] * 3
+
+
 def test_segmentation_round_trip(spark, docs, texts):
     from sentencepiece import SentencePieceProcessor
 
