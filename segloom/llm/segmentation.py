@@ -204,8 +204,8 @@ class Lattices:
         counts = np.zeros(len(cp), np.int32)
         while len(live):
             if n:
-                on = live + np.int32(n) < end[live]
-                live, state = live[on], state[on]
+                on = np.nonzero(live + np.int32(n) < end.take(live))[0]
+                live, state = live.take(on), state.take(on)
                 hit, state = v.follow((state << np.int32(CHAR)) | char[live + np.int32(n)])
                 live = live[hit]
             else:
@@ -215,19 +215,21 @@ class Lattices:
             n += 1
             piece = v.piece_of[state]
             is_piece = piece >= 0
-            found.append((live[is_piece], n, piece[is_piece]))
-            counts[found[-1][0]] += 1
+            which = np.nonzero(is_piece)[0]
+            place = live.take(which)
+            shorter = counts.take(place)
+            counts[place] = shorter + np.int32(1)
+            found.append((place, n, piece.take(which), shorter))
         bare = np.nonzero(counts == 0)[0]
         chars, which = np.unique(cp[bare], return_inverse=True)
         spelled = np.array([v.spell(chr(c)) for c in chars], np.int64)[which] if len(bare) else np.empty(0, np.int64)
-        found.append((bare, 1, spelled))
+        found.append((bare, 1, spelled, np.int32(0)))
         counts[bare] = 1
         first = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        slot, to, piece = first[:-1].copy(), np.empty(first[-1], np.int32), np.empty(first[-1], np.int32)
-        for place, n, which_piece in reversed(found):
-            at = slot[place]
+        final, to, piece = first[1:] - np.int32(1), np.empty(first[-1], np.int32), np.empty(first[-1], np.int32)
+        for place, n, which_piece, shorter in found:
+            at = final.take(place) - shorter
             to[at], piece[at] = place + n, which_piece
-            slot[place] += 1
         return first, np.repeat(places, counts), to, piece
 
     @staticmethod
